@@ -48,7 +48,7 @@ def delimiter_audit(text: Column, keyword: str | None = None) -> dict[str, Colum
         "close_parens": closes.cast("bigint"), "quotes_balanced": (dq % 2 == 0) & (sq % 2 == 0), "parens_balanced": opens == closes,
     }
     if keyword:
-        out["has_keyword"] = text.rlike(rf"(?i)\b{keyword}\b")
+        out["has_keyword"] = text.rlike(rf"(?i)(^|[^A-Za-z0-9_]){keyword}([^A-Za-z0-9_]|$)")
     return out
 
 

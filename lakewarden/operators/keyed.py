@@ -54,6 +54,21 @@ def carry_previous(
     return joined.select(*df.columns, *[best[v].alias(f"{prefix}{v}") for v in values])
 
 
+def number_rows(df: DataFrame, order: list[Column], bucket: Column, name: str = "rownum") -> DataFrame:
+    """Row numbers over the whole table without sorting it in one task.
+
+    ``bucket`` rises with the first order column. Rows are numbered inside their bucket and shifted by
+    the row count of the earlier buckets.
+    """
+    work = df.withColumn("_b", bucket)
+    sizes = work.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_b").orderBy(*order)
+    numbered = work.withColumn("_i", F.row_number().over(inside)).join(starts, "_b", "inner")
+    return numbered.withColumn(name, F.col("_start") + F.col("_i")).drop("_b", "_i", "_start")
+
+
 def attach_group_values(df: DataFrame, keys: list[str], aggs: list[Column], salt: int = 16) -> DataFrame:
     """Each row with aggregates of its group, as a window without ordering would give.
 
