@@ -1,13 +1,14 @@
 """Making table states durable with ordinary Spark tables.
 
 A full new state is written to a fresh folder and the table is then pointed at it, so readers see the
-old or the new state and a failed job leaves the old one in place. Partitioned tables can instead
-replace only the touched partitions. Where Delta is installed its tables work as sources and sinks of
+old or the new state and a failed job leaves the old one in place. Partitioned tables do the same per
+partition, so that an increment costs what it touches. Where Delta is installed its tables work as sources and sinks of
 the same functions through ``spark.table`` and ``format``.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +24,19 @@ def has_delta() -> bool:
     return True
 
 
-def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> str:
+def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet") -> str:
     """Write ``df`` as the new content of ``table`` below ``root`` and switch the table to it."""
     spark = df.sparkSession
     location = f"{root.rstrip('/')}/{table.replace('.', '_')}/{uuid.uuid4().hex}"
-    writer = df.write.format(fmt).mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(location)
-    if not spark.catalog.tableExists(table):
-        spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION '{location}'")
-    elif spark.table(table).schema == df.schema and not partition_by:
+    df.write.format(fmt).mode("errorifexists").save(location)
+    exists = spark.catalog.tableExists(table)
+    if exists and spark.table(table).dtypes == df.dtypes:
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
         spark.catalog.refreshTable(table)
-    else:
+        return location
+    if exists:
         spark.sql(f"DROP TABLE {table}")
-        spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION '{location}'")
-    if partition_by:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+    spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION '{location}'")
     return location
 
 
@@ -52,9 +50,36 @@ def commit_append(df: DataFrame, table: str, root: str, fmt: str = "parquet") ->
     spark.catalog.refreshTable(table)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
-    """Replace exactly the partitions present in ``df``; files are staged and moved when the job commits."""
-    df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).save(path)
+def commit_partitions(df: DataFrame, table: str, root: str, partition: str, touched: list | None = None, fmt: str = "parquet") -> str:
+    """Replace whole partitions of a table: new files first, then each partition is pointed at them.
+
+    Only the partitions in ``df`` are written. ``touched`` names the partitions the write was computed for;
+    those that ended up without rows are dropped. Partition values, not rows, come to the driver.
+    """
+    spark = df.sparkSession
+    location = f"{root.rstrip('/')}/{table.replace('.', '_')}/{uuid.uuid4().hex}"
+    df.write.format(fmt).mode("errorifexists").partitionBy(partition).save(location)
+    kind = df.schema[partition].dataType
+    written = [r[0] for r in spark.read.format(fmt).schema(df.schema).load(location).select(partition).distinct().collect()]
+    odd = [v for v in written if v is None or not re.fullmatch(r"[A-Za-z0-9_.-]+", str(v))]
+    if odd:
+        raise ValueError(f"Partition values must be plain and not NULL: {odd[:3]}")
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt} PARTITIONED BY (`{partition}`) LOCATION '{location}_base'")
+    for value in written:
+        spec = f"(`{partition}` = {_literal(value, kind)})"
+        where = f"{location}/{partition}={value}"
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION {spec} LOCATION '{where}'")
+        spark.sql(f"ALTER TABLE {table} PARTITION {spec} SET LOCATION '{where}'")
+    for value in set(touched or []) - set(written):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{partition}` = {_literal(value, kind)})")
+    spark.catalog.refreshTable(table)
+    return location
+
+
+def _literal(value, kind) -> str:
+    return str(value) if kind.typeName() in ("integer", "long", "short", "byte") else f"'{value}'"
 
 
 def publish_view(spark: SparkSession, name: str, query: DataFrame) -> None:

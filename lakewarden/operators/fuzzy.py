@@ -3,11 +3,13 @@
 Score = 0.5 * indel ratio + 0.3 * Jaccard of name tokens + 0.2 * common prefix share, accepted from a
 threshold that depends on the name's length. The threshold bounds each part from below, which gives
 exact candidate filters: a common prefix of known minimal length and a shared token out of the few
-rarest ones. Names are joined on (prefix, token); no pair above the threshold is lost.
+rarest ones. Names are joined on both; no pair above the threshold is lost.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix."""
+    sizes = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
+    return F.array_max(F.filter(sizes, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+
+
 def prefix_share(a: Column, b: Column) -> Column:
     """Length of the common prefix over the longer length."""
-    short = F.least(F.length(a), F.length(b))
     longest = F.greatest(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), short), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.when(short == 0, F.lit(0.0)).otherwise(F.array_max(same) / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(common_prefix(a, b) / longest)
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
@@ -81,47 +87,92 @@ def similarity(a: Column, b: Column) -> Column:
     return W_INDEL * indel_ratio(a, b) + W_JACCARD * jaccard(tokens(a), tokens(b)) + W_PREFIX * prefix_share(a, b)
 
 
-def _blocking(names: DataFrame, frequency: DataFrame, min_jaccard: Column) -> DataFrame:
-    """Each name with the tokens that at least one partner of the required Jaccard must share.
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where the optimizer would repeat it for each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    Two sets of Jaccard >= t share one of the |x| - ceil(t|x|) + 1 first tokens of each, in any common
-    order of tokens; rare tokens come first to keep the groups small.
+def _signatures(names: DataFrame, frequency: DataFrame, own: str, partner: str) -> DataFrame:
+    """Each name with tokens of which any partner within the threshold must share one, per partner size.
+
+    Sets of p and q tokens with Jaccard >= t have at least c = ceil(t / (1 + t) * (p + q)) tokens in
+    common, so the partner holds one of all but the last c - 1 tokens that the catalog knows, in any
+    common order of tokens. Rare tokens come first, which keeps the groups small. ``own`` and ``partner``
+    name the two set sizes, which are part of the key.
     """
-    parts = names.select("norm", F.explode(tokens(F.col("norm"))).alias("token")).join(frequency, "token", "inner")
-    ordered = parts.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("ts"))
-    n = F.size("ts")
-    keep = n - F.ceil(min_jaccard * n - _EPS).cast("int") + 1
-    return ordered.select("norm", F.explode(F.slice("ts", F.lit(1), F.greatest(keep, F.lit(1))))
-                          .alias("t")).select("norm", F.col("t.token").alias("token"))
+    parts = names.withColumn(own, F.size(tokens(F.col("norm")))).withColumn("token", F.explode(tokens(F.col("norm"))))
+    ordered = parts.join(frequency, "token", "inner").groupBy(*names.columns, own).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seen", "token"))), lambda e: e["token"]).alias("ts")
+    )
+    need = 1.0 - (1.0 - F.col("cut")) / W_JACCARD
+    fewest, most = F.ceil(need * F.col(own) - _EPS).cast("int"), F.floor(F.col(own) / need + _EPS).cast("int")
+    sized = ordered.withColumn(partner, F.explode(F.sequence(F.greatest(fewest, F.lit(1)), most)))
+    common = F.ceil(need / (1.0 + need) * (F.col(own) + F.col(partner)) - _EPS).cast("int")
+    kept = sized.withColumn("keep", F.size("ts") - common + 1).filter("keep > 0")
+    return kept.select(*names.columns, own, partner, F.explode(F.slice("ts", F.lit(1), F.col("keep"))).alias("token"))
+
+
+def _shortest_head(cut: float, size: int) -> int:
+    """The shortest common prefix that leaves names of at least this length within the threshold."""
+    return max(1, ceil((1.0 - (1.0 - cut) / W_PREFIX) * size - _EPS))
 
 
 def candidate_pairs(names: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (norm, cat_norm) pairs that can reach the threshold of ``norm``. Both inputs hold ``norm``."""
+    """Distinct (norm, cat_norm, cut) pairs that can reach the threshold of ``norm``. Both inputs hold ``norm``."""
     source = names.select("norm").distinct().withColumn("cut", threshold(F.col("norm")))
     target = catalog.select("norm").distinct()
     seen = target.select(F.explode(tokens(F.col("norm"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    # With the other parts at their best, the deficit 1 - cut limits prefix and Jaccard.
-    need_prefix = 1.0 - (1.0 - F.col("cut")) / W_PREFIX
-    need_jaccard = 1.0 - (1.0 - threshold(F.col("norm"))) / W_JACCARD
-    lowest_jaccard = F.lit(1.0 - (1.0 - min(t for _, t in THRESHOLDS)) / W_JACCARD)
-    left = source.withColumn("k", F.ceil(need_prefix * F.length("norm") - _EPS).cast("int"))
-    left = left.join(_blocking(source, seen, need_jaccard), "norm", "inner")
-    left = left.withColumn("head", F.substring(F.col("norm"), F.lit(1), F.col("k")))
-    right = _blocking(target, seen, lowest_jaccard).withColumnRenamed("norm", "cat_norm")
-    lengths = F.sequence(F.lit(0), F.length("cat_norm"))
-    right = right.select("*", F.explode(lengths).alias("k"))
-    right = right.withColumn("head", F.substring(F.col("cat_norm"), F.lit(1), F.col("k")))
-    return left.join(right, ["k", "head", "token"], "inner").select("norm", "cat_norm", "cut").distinct()
+    # Every catalog name is offered to each threshold class; the join uses the class's shortest common prefix.
+    starts = (0, *[upto for upto, _ in THRESHOLDS if upto is not None])
+    classes = [(cut, _shortest_head(cut, start)) for start, (_, cut) in zip(starts, THRESHOLDS)]
+    head_size = F.lit(1)
+    for cut, k in classes:
+        head_size = F.when(F.col("cut") == cut, F.lit(k)).otherwise(head_size)
+    offered = target.select("norm", F.explode(F.array(*[F.lit(cut) for cut, _ in classes])).alias("cut"))
+    keys = ["cut", "size", "cat_size", "head", "token"]
+    left = _signatures(source, seen, "size", "cat_size").withColumn("head", F.substring(F.col("norm"), F.lit(1), head_size))
+    right = _signatures(offered, seen, "cat_size", "size").withColumn("head", F.substring(F.col("norm"), F.lit(1), head_size))
+    right = right.select(F.col("norm").alias("cat_norm"), *keys)
+    a, b = F.length("norm"), F.length("cat_norm")
+    need_head = F.ceil((1.0 - (1.0 - F.col("cut")) / W_PREFIX) * F.greatest(a, b) - _EPS).cast("int")
+    same_head = F.substring(F.col("norm"), F.lit(1), need_head) == F.substring(F.col("cat_norm"), F.lit(1), need_head)
+    similar_size = W_INDEL * 2.0 * F.least(a, b) / (a + b) + W_JACCARD + W_PREFIX >= F.col("cut") - _EPS
+    met = left.select("norm", *keys).join(right, keys, "inner").filter(similar_size & same_head)
+    return met.select("norm", "cat_norm", "cut").distinct()
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Candidates with their score; the costly subsequence is only computed where a bound allows success."""
+    """Candidates that may reach the threshold, with their score.
+
+    Sizes and tokens are tested first, then the common prefix. The common subsequence is only computed
+    where a bound on it still allows the threshold, and only over the middle that is left when the
+    common prefix and suffix, which always belong to it, are cut off.
+    """
     a, b = F.col("norm"), F.col("cat_norm")
-    cheap = pairs.withColumns({"jac": jaccard(tokens(a), tokens(b)), "pfx": prefix_share(a, b)})
-    best = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    hopeful = cheap.filter(W_INDEL * best + W_JACCARD * F.col("jac") + W_PREFIX * F.col("pfx") >= F.col("cut") - _EPS)
-    score = W_INDEL * indel_ratio(a, b) + W_JACCARD * F.col("jac") + W_PREFIX * F.col("pfx")
-    return hopeful.withColumn("score", F.round(score, 9)).filter(F.col("score") >= F.col("cut") - _EPS)
+    n, m = F.length(a), F.length(b)
+    jac = W_JACCARD * jaccard(tokens(a), tokens(b))
+    likely = pairs.filter(W_INDEL * 2.0 * F.least(n, m) / (n + m) + jac + W_PREFIX >= F.col("cut") - _EPS)
+
+    def middle_score(s: Column) -> Column:
+        total = lambda inner: W_INDEL * 2.0 * (s["h"] + s["t"] + inner) / (n + m) + jac + W_PREFIX * s["h"] / F.greatest(n, m)
+        most = F.least(F.length(s["a"]), F.length(s["b"])) - s["t"]
+        inner = F.when(most == 0, F.lit(0)).otherwise(
+            common_subsequence(F.substr(s["a"], s["t"] + 1), F.substr(s["b"], s["t"] + 1))
+        )
+        return F.when(total(most) >= F.col("cut") - _EPS, F.round(total(inner), 9))
+
+    rest = lambda c, h: F.reverse(F.substr(c, h + 1))
+    score = let(
+        common_prefix(a, b),
+        lambda h: let(
+            F.struct(h.alias("h"), rest(a, h).alias("a"), rest(b, h).alias("b")),
+            lambda r: let(
+                F.struct(r["h"].alias("h"), r["a"].alias("a"), r["b"].alias("b"), common_prefix(r["a"], r["b"]).alias("t")),
+                middle_score,
+            ),
+        ),
+    )
+    return likely.select("norm", "cat_norm", "cut", score.alias("score")).filter(F.col("score").isNotNull())
 
 
 def map_names(names: DataFrame, name: str, catalog: DataFrame, full_name: str) -> DataFrame:
@@ -133,8 +184,9 @@ def map_names(names: DataFrame, name: str, catalog: DataFrame, full_name: str) -
         "name", "match", F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("runner_up"), F.lit("EXACT").alias("status")
     )
     rest = src.join(cat.select("norm"), "norm", "left_anti")
-    scored = scored_pairs(candidate_pairs(rest, cat))
-    two = top_per_key(scored, ["norm"], [F.desc("score"), F.asc("cat_norm")], 2)
+    # The threshold is applied after the ranking: as a filter below it the score would be computed twice.
+    ranked = top_per_key(scored_pairs(candidate_pairs(rest, cat)), ["norm"], [F.desc("score"), F.asc("cat_norm")], 2)
+    two = ranked.filter(F.col("score") >= F.col("cut") - _EPS)
     w = Window.partitionBy("norm").orderBy("_rn")
     best = two.withColumn("runner_up", F.lead("score").over(w)).filter("_rn = 1")
     clear = F.col("runner_up").isNull() | (F.col("score") - F.col("runner_up") > CLEAR_GAP + _EPS)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ntz, shift
+from ..session import ntz, settle, shift
 from . import writes
 from .bronze import add_full_refresh_columns, add_technical_columns, clean_names
 from .contract import Contract, cast_to_contract, assert_nullability
@@ -220,13 +220,13 @@ class BronzeLoad:
 
 def load_bronze(
     source: DataFrame, target: DataFrame | None, cfg: LoadConfig, run_id: str, as_of, watermark: str | None = None,
-    cache: bool = True,
+    stage: bool = True,
 ) -> BronzeLoad:
     """Plan one bronze load.
 
-    The increment is read once and kept while it is counted, measured and merged; rows and maximum
-    watermark are collected by the same pass. When nothing is newer and the lookback is empty, nothing
-    is written.
+    With ``stage`` the increment is read once into the checkpoint folder, so that counting, measuring and
+    merging see the same rows even when the source changes meanwhile or an executor is lost; leave it out
+    for sources that do not change. When nothing is newer and the lookback is empty, nothing is written.
     """
     source = clean_names(source)
     plan = choose_write(cfg)
@@ -237,14 +237,12 @@ def load_bronze(
     newer = True
     if plan.operation == "MERGE" and watermark and cfg.watermark:
         newer = has_newer(source, cfg.watermark, watermark)
-    if cache:
-        increment = increment.persist()
-    seen = Observation()
+    if stage:
+        increment = settle(increment)
     stats = [F.count(F.lit(1)).alias("rows")]
     if cfg.watermark and cfg.watermark in increment.columns:
         stats.append(F.max(cfg.watermark).cast("string").alias("mark"))
-    increment.observe(seen, *stats).write.format("noop").mode("overwrite").save()
-    got = seen.get
+    got = increment.agg(*stats).collect()[0].asDict()
     load = BronzeLoad(plan.operation, plan.strategy, None, increment, watermark, rows_read=got["rows"])
     if not newer and not got["rows"]:
         load.short_circuited, load.watermark_end = True, watermark

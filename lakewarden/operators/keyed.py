@@ -80,28 +80,23 @@ def attach_group_values(df: DataFrame, keys: list[str], aggs: list[Column], salt
     return salted.join(groups, [*keys, "_s"], "left").drop("_s")
 
 
-def nearest_rank_percentiles(
-    df: DataFrame, keys: list[str], value: str, percents: dict[str, float], width: int = 1024, count: str = "sample_size",
+def values_at_ranks(
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], width: float, count: str = "sample_size",
 ) -> DataFrame:
-    """Exact nearest-rank percentiles of an integral column per group.
+    """The values at given ranks (from 1) of each group, exactly and without sorting a group in one task.
 
-    Values are first counted (partial aggregate), then summed into ranges of ``width``. The rank is
-    located among the ranges and only the matching range is read value by value.
+    Equal values are counted first (partial aggregate), then summed into ranges of ``width``. A rank is
+    located among the ranges, and only the range that holds it is read value by value. ``ranks`` are
+    expressions over the group's row count ``_total``.
     """
-    hist = df.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     hist = hist.withColumn("_r", F.floor(F.col("_v") / F.lit(width)))
     ranges = hist.groupBy(*keys, "_r").agg(F.sum("_n").alias("_rn"))
-    upto = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*keys)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rn").over(upto), F.lit(0))).withColumn(
-        "_total", F.sum("_rn").over(total)
-    )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(p) / 100.0 * F.col("_total"))).alias("rank"))
-            for n, p in percents.items()
-        ]
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rn").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_rn").over(Window.partitionBy(*keys))
     )
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), r.cast("bigint").alias("rank")) for n, r in ranks.items()])
     hit = ranges.select("*", F.explode(wanted).alias("_w")).filter(
         (F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_rn"))
     )
@@ -112,11 +107,24 @@ def nearest_rank_percentiles(
         .filter(F.col("_cum") >= F.col("_w.rank"))
     )
     return found.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("_w.name") == n, F.col("_v"))).alias(n) for n in percents],
-        F.max("_total").cast("bigint").alias(count),
+        *[F.min(F.when(F.col("_w.name") == n, F.col("_v"))).alias(n) for n in ranks], F.max("_total").cast("bigint").alias(count),
     )
 
 
+def nearest_rank_percentiles(
+    df: DataFrame, keys: list[str], value: str, percents: dict[str, float], width: float = 1024, count: str = "sample_size",
+) -> DataFrame:
+    """Exact nearest-rank percentiles per group."""
+    ranks = {n: F.greatest(F.lit(1), F.ceil(F.lit(p) / 100.0 * F.col("_total"))) for n, p in percents.items()}
+    return values_at_ranks(df, keys, value, ranks, width, count)
+
+
+def medians(df: DataFrame, keys: list[str], value: str, width: float, name: str = "median") -> DataFrame:
+    """Exact medians per group: the mean of the two middle values."""
+    ranks = {"_lo": F.floor((F.col("_total") + 1) / 2), "_hi": F.ceil((F.col("_total") + 1) / 2)}
+    return values_at_ranks(df, keys, value, ranks, width, "_n").select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
+
+
 def within_band(
     left: DataFrame, right: DataFrame, keys: list[str], at: str, low: Column, high: Column, width_seconds: int,
 ) -> DataFrame:

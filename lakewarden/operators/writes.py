@@ -131,7 +131,7 @@ def upsert_touched(
     """The upsert state restricted to the touched partitions of a partitioned table.
 
     The semi join on the partition column prunes the target's files at run time, so the cost follows
-    the increment, not the table. Write with ``commit.overwrite_partitions``.
+    the increment, not the table. Write with ``commit.commit_partitions``.
     """
     fresh = one_per_key(require_keys(incoming, keys), keys, order_column)
     touched = touched_partitions(target, fresh, keys, partition)

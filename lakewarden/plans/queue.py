@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keyed import nearest_rank_percentiles
 from ..session import millis_between, ntz, seconds_between, shift, trunc_ntz
 
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
@@ -61,20 +62,20 @@ def wait_times(queue: DataFrame) -> DataFrame:
     )
 
 
-def latency(queue: DataFrame, as_of=None, hours: int | None = None, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """p50 and p95 of both waits. Sketches by default; exact discrete percentiles for small windows."""
-    rows = queue if hours is None else queue.filter(F.col("requested_at") >= shift(ntz(as_of), "HOUR", -hours))
-    waits = wait_times(rows)
+WAITS = ("to_claim_ms", "to_running_ms")
 
-    def pct(c: str, p: float) -> Column:
-        if exact:
-            return F.expr(f"percentile_disc({p}) within group (order by {c})").cast("bigint")
-        return F.percentile_approx(c, p, accuracy).cast("bigint")
 
-    return waits.agg(
-        pct("to_claim_ms", 0.5).alias("p50_to_claim_ms"), pct("to_claim_ms", 0.95).alias("p95_to_claim_ms"),
-        pct("to_running_ms", 0.5).alias("p50_to_running_ms"), pct("to_running_ms", 0.95).alias("p95_to_running_ms"),
-    )
+def latency(queue: DataFrame, as_of=None, hours: int | None = None, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """p50 and p95 of both waits, in one row: sketches by default, or exact nearest-rank percentiles."""
+    rows = queue if hours is None else queue.filter(F.col("requested_at") >= shift(ntz(as_of), "HOUR", -hours))
+    waits, points = wait_times(rows), {"p50": 50, "p95": 95}
+    if not exact:
+        return waits.agg(
+            *[F.percentile_approx(w, q / 100, accuracy).cast("bigint").alias(f"{p}_{w}") for w in WAITS for p, q in points.items()]
+        )
+    long = waits.unpivot([], list(WAITS), "wait", "ms")
+    per_wait = nearest_rank_percentiles(long, ["wait"], "ms", points, width=1000)
+    return per_wait.agg(*[F.max(F.when(F.col("wait") == w, F.col(p))).alias(f"{p}_{w}") for w in WAITS for p in points])
 
 
 def timeline(transitions: DataFrame, since=None, unit: str = "minute") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.commit import commit_snapshot
-from ..operators.writes import one_per_key, require_keys, upsert
+from ..operators.commit import commit_partitions, commit_snapshot
+from ..operators.keyed import latest_per_key
+from ..operators.writes import one_per_key, require_keys, touched_partitions, upsert
 from ..session import use_checkpoint_dir
 
 LATE_BOUND = "3 days"
@@ -21,29 +22,43 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
-def upsert_batch(table: str, keys: list[str], order_column: str, root: str) -> Callable[[DataFrame, int], None]:
-    """The batch function of a continuous upsert. Repeating a batch gives the same table, so a retry is harmless."""
+def upsert_batch(
+    table: str, keys: list[str], order_column: str, root: str, partition: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """The batch function of a continuous upsert. Repeating a batch gives the same table, so a retry is harmless.
+
+    With a partition column only the partitions the batch concerns are read and rewritten.
+    """
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        if spark.catalog.tableExists(table):
-            # An older row of a late file must not replace a newer stored one.
-            current = spark.table(table)
-            stored = current.join(batch.select(*keys).distinct(), keys, "left_semi")
-            state = upsert(current, stored.unionByName(batch), keys, order_column)
-        else:
-            state = one_per_key(require_keys(batch, keys), keys, order_column)
-        commit_snapshot(state, table, root)
+        fresh = one_per_key(require_keys(batch, keys), keys, order_column)
+        if not spark.catalog.tableExists(table):
+            if partition:
+                commit_partitions(fresh, table, root, partition)
+            else:
+                commit_snapshot(fresh, table, root)
+            return
+        current = spark.table(table)
+        # An older row of a late file must not replace a newer stored one.
+        stored = current.join(fresh.select(*keys), keys, "left_semi").select(*fresh.columns)
+        newest = latest_per_key(fresh.unionByName(stored), keys, order_column)
+        if not partition:
+            commit_snapshot(upsert(current, newest, keys, order_column), table, root)
+            return
+        values = [r[0] for r in touched_partitions(current, newest, keys, partition).collect()]
+        kept = current.filter(F.col(partition).isin(values)).join(newest.select(*keys), keys, "left_anti")
+        commit_partitions(kept.unionByName(newest), table, root, partition, touched=values)
 
     return write
 
 
 def upsert_stream(
-    stream: DataFrame, table: str, keys: list[str], order_column: str, root: str, checkpoint: str,
+    stream: DataFrame, table: str, keys: list[str], order_column: str, root: str, checkpoint: str, partition: str | None = None,
 ) -> StreamingQuery:
     """Bring arriving files into a keyed table and stop when all present files are processed."""
     return (
-        stream.writeStream.foreachBatch(upsert_batch(table, keys, order_column, root))
+        stream.writeStream.foreachBatch(upsert_batch(table, keys, order_column, root, partition))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -733,7 +733,7 @@ def write_mode_matrix(t: Tables):
 @query("bronze_load_current", f"select *, 'b0' as _batch_id from ({TARGET}) a where o_orderdate < TS'{DAY3}' union all select *, 'b1' from (select {ORDER_COLS} from @orders) b where o_orderdate >= TS'{DAY3}'")
 def bronze_load_current(t: Tables):
     """A whole incremental load: cutoff, read, technical columns, upsert."""
-    load = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), CURRENT, "b1", AS_OF, "2001-01-01", cache=False)
+    load = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), CURRENT, "b1", AS_OF, "2001-01-01", stage=False)
     return load.state.select(*ORDERS.names, "_batch_id")
 
 
@@ -741,15 +741,15 @@ def bronze_load_current(t: Tables):
 def bronze_load_no_key(t: Tables):
     """Without a key the lookback window is replaced and older rows stay."""
     cfg = incremental.LoadConfig("orders", "SRC.ORDERS", "CURRENT", "WATERMARK", (), "o_orderdate")
-    load = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), cfg, "b1", AS_OF, cache=False)
+    load = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), cfg, "b1", AS_OF, stage=False)
     return load.state.select(*ORDERS.names, "_batch_id")
 
 
 @query("backfill_rerun", f"select {ORDER_COLS} from @orders")
 def backfill_rerun(t: Tables):
     """A load repeated with an older watermark: the upsert makes the second run change nothing."""
-    first = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), CURRENT, "b1", AS_OF, "2001-01-01", cache=False)
-    again = incremental.load_bronze(typed_orders(t.orders), first.state, CURRENT, "b2", AS_OF, "1999-06-01", cache=False)
+    first = incremental.load_bronze(typed_orders(t.orders), hashed_orders(t.orders_target, "b0"), CURRENT, "b1", AS_OF, "2001-01-01", stage=False)
+    again = incremental.load_bronze(typed_orders(t.orders), first.state, CURRENT, "b2", AS_OF, "1999-06-01", stage=False)
     return business(again.state)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..streaming import streams
@@ -21,12 +23,12 @@ def _stream(t: Tables, name: str):
          from (select l_orderkey, l_linenumber, l_shipdate from @lineitem) l) r where rn = 1""",
 )
 def stream_upsert(t: Tables):
-    """Files into a keyed table, newest row per key."""
-    scratch, table = t.scratch, f"lakewarden_stream_{abs(hash(t.scratch)) % 10**12}"
-    rows = _stream(t, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    q = streams.upsert_stream(rows, table, ["l_orderkey", "l_linenumber"], "l_shipdate", f"{scratch}/tables", f"{scratch}/ckpt")
+    """Files into a keyed table, newest row per key; the table is partitioned by year of shipping."""
+    scratch, table = t.scratch, f"lakewarden_stream_{uuid.uuid4().hex}"
+    rows = _stream(t, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.year("l_shipdate").alias("y"))
+    q = streams.upsert_stream(rows, table, ["l_orderkey", "l_linenumber"], "l_shipdate", f"{scratch}/tables", f"{scratch}/ckpt", "y")
     q.awaitTermination()
-    return t.spark.table(table)
+    return t.spark.table(table).drop("y")
 
 
 @query(
