@@ -103,12 +103,18 @@ def suggest_watermark(df: DataFrame, configured: str | None = None) -> tuple[str
     return (dates[0], "first_date_column") if dates else (None, None)
 
 
+def distinct_estimate(value: Column) -> Column:
+    """Distinct non-NULL values from a sketch (about 2% error). The sketch is one binary buffer, so a pass may hold
+    hundreds of them for a wide table."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(12))), F.lit(0))
+
+
 def column_profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """Rows, distinct values and NULLs per column in one pass, with the watermark fitness test.
 
     Sketches keep the pass free of a shuffle of values; ``exact`` is for small tables.
     """
-    count = F.count_distinct if exact else (lambda c: F.approx_count_distinct(c, 0.02))
+    count = F.count_distinct if exact else distinct_estimate
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
         aggs += [count(F.col(f"`{c}`")).alias(f"d_{c}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{c}")]
@@ -137,7 +143,7 @@ def sampled_profile(df: DataFrame, columns: list[str], seed: int = 7) -> DataFra
     """The profile from a 1% sample, scaled by 100."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
-        aggs += [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{c}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{c}")]
+        aggs += [distinct_estimate(F.col(f"`{c}`")).alias(f"d_{c}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{c}")]
     return _profile_rows(df.select(*columns).sample(0.01, seed=seed).agg(*aggs), columns, 100)
 
 
@@ -248,19 +254,25 @@ def key_rank(name: str, data_type: T.DataType, required: bool, distinct: int | N
     return score
 
 
-def _sets_unique(df: DataFrame, sets: list[tuple[str, ...]], wanted_rows: int, rows: int) -> tuple[int, list[bool]]:
-    """Test several column sets on the same sample in one aggregate.
+def _first_unique(df: DataFrame, sets: list[tuple[str, ...]], wanted_rows: int, rows: int) -> tuple[str, ...] | None:
+    """The first column set that is unique on a sample.
 
-    The sample is drawn by a hash of the row, so that each run and each retry sees the same rows.
+    The sample is drawn by a hash of the row, so that each run and each retry sees the same rows. One
+    pass of sketches over all sets leaves those that can be unique; only these are counted exactly.
     """
     sample = df
     if rows > wanted_rows:
         used = sorted({c for s in sets for c in s})
         cut = int(2**31 * (wanted_rows / rows))
         sample = df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in used]), F.lit(2**31)) < cut)
-    probes = [F.count_distinct(F.struct(*[F.col(f"`{c}`") for c in s])).alias(f"u{i}") for i, s in enumerate(sets)]
-    row = sample.agg(F.count(F.lit(1)).alias("n"), *probes).collect()[0]
-    return row["n"], [row[f"u{i}"] == row["n"] for i in range(len(sets))]
+    value = lambda s: F.struct(*[F.col(f"`{c}`") for c in s])
+    number = F.count(F.lit(1)).alias("n")
+    guess = sample.agg(number, *[distinct_estimate(value(s)).alias(f"u{i}") for i, s in enumerate(sets)]).collect()[0]
+    likely = [s for i, s in enumerate(sets) if guess[f"u{i}"] >= 0.85 * guess["n"]]
+    if not likely:
+        return None
+    exact = sample.agg(number, *[F.count_distinct(value(s)).alias(f"u{i}") for i, s in enumerate(likely)]).collect()[0]
+    return next((s for i, s in enumerate(likely) if exact[f"u{i}"] == exact["n"]), None)
 
 
 def discover_key(
@@ -280,7 +292,7 @@ def discover_key(
         return KeyFinding()
     sketch = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.approx_count_distinct(F.col(f"`{f.name}`"), 0.02).alias(f"d{i}") for i, f in enumerate(fields)],
+        *[distinct_estimate(F.col(f"`{f.name}`")).alias(f"d{i}") for i, f in enumerate(fields)],
         *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"z{i}") for i, f in enumerate(fields)],
     ).collect()[0]
     total = sketch["_rows"]
@@ -300,8 +312,7 @@ def discover_key(
         sets = [s for s in sets if _could_be_unique(s, distinct, total)]
         if not sets:
             continue
-        _, flags = _sets_unique(df.select(*[f"`{c}`" for c in sorted({c for s in sets for c in s})]), sets, sample_rows, total)
-        chosen = next((s for s, ok in zip(sets, flags) if ok), None)
+        chosen = _first_unique(df.select(*[f"`{c}`" for c in sorted({c for s in sets for c in s})]), sets, sample_rows, total)
         if chosen:
             method = f"{label}_{sample_rows // 1000}k"
             break

@@ -279,8 +279,13 @@ def merge_metrics(load: BronzeLoad, target: DataFrame, cfg: LoadConfig) -> DataF
 def promote_to_silver(
     bronze: DataFrame, target: DataFrame | None, contract: Contract, mode: str = "auto",
     window_column: str | None = None, lookback_days: int = DEFAULT_LOOKBACK_DAYS, as_of=None, check_nulls: bool = True,
+    batch_id: str | None = None,
 ) -> tuple[str, DataFrame]:
-    """Cast, keep the newest row per key, write by key or mode. Without a key only the lookback window is read."""
+    """Cast, keep the newest row per key, write by key or mode.
+
+    Without a key only the lookback window is read. With a key, ``batch_id`` limits the work to the rows
+    of one load; a stored row that is newer is kept, so the result is that of reading all of bronze.
+    """
     cutoff = None
     rows = bronze
     if "_is_deleted" in bronze.columns:
@@ -288,9 +293,14 @@ def promote_to_silver(
     if mode == "REPLACE_WHERE" and not contract.primary_key and window_column and target is not None:
         cutoff = shift(ntz(as_of), "DAY", -lookback_days)
         rows = rows.filter(F.col(window_column) >= cutoff)
+    by_batch = bool(batch_id and contract.primary_key and target is not None)
+    if by_batch:
+        rows = rows.filter(F.col("_batch_id") == batch_id)
     typed = cast_to_contract(rows, contract)
     if check_nulls:
         assert_nullability(typed, contract)
+    if by_batch:
+        return "MERGE", writes.upsert_newest(target, typed, list(contract.primary_key), contract.order_column)
     if contract.primary_key:
         typed = latest_per_key(typed, list(contract.primary_key), contract.order_column)
     return writes.silver_state(target, typed, contract, mode, window_column, cutoff)

@@ -54,30 +54,45 @@ def carry_previous(
     return joined.select(*df.columns, *[best[v].alias(f"{prefix}{v}") for v in values])
 
 
-def number_rows(df: DataFrame, order: list[Column], bucket: Column, name: str = "rownum") -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], buckets: list[Column], name: str = "rownum") -> DataFrame:
     """Row numbers over the whole table without sorting it in one task.
 
-    ``bucket`` rises with the first order column. Rows are numbered inside their bucket and shifted by
-    the row count of the earlier buckets.
+    ``buckets`` rise with the order, the first one slowest; a crowded first bucket is divided by the next.
+    Rows are numbered inside their bucket and shifted by the row count of the earlier buckets.
     """
-    work = df.withColumn("_b", bucket)
-    sizes = work.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_b").orderBy(*order)
-    numbered = work.withColumn("_i", F.row_number().over(inside)).join(starts, "_b", "inner")
-    return numbered.withColumn(name, F.col("_start") + F.col("_i")).drop("_b", "_i", "_start")
+    names = [f"_b{i}" for i in range(len(buckets))]
+    work = df.withColumns(dict(zip(names, buckets)))
+    sizes = work.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    # Two levels again: totals of the first bucket are few, the others are summed inside it.
+    outer = sizes.groupBy(names[0]).agg(F.sum("_n").alias("_n"))
+    starts = outer.select(names[0], F.coalesce(F.sum("_n").over(_before(Window.orderBy(names[0]))), F.lit(0)).alias("_start"))
+    if len(names) > 1:
+        w = _before(Window.partitionBy(names[0]).orderBy(*names[1:]))
+        inner = sizes.select(*names, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_more"))
+        starts = inner.join(starts, names[0], "inner").select(*names, (F.col("_start") + F.col("_more")).alias("_start"))
+    inside = Window.partitionBy(*names).orderBy(*order)
+    numbered = work.withColumn("_i", F.row_number().over(inside)).join(starts, names, "inner")
+    return numbered.withColumn(name, F.col("_start") + F.col("_i")).drop(*names, "_i", "_start")
+
+
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def salted_lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", salt: int = 8) -> DataFrame:
+    """Join many rows with one row per key of ``side``.
+
+    The few rows of ``side`` are repeated per salt, so that the rows of a hot key spread over ``salt`` tasks.
+    A side small enough is still broadcast by the planner.
+    """
+    copies = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt)).cast("int")
+    return df.withColumn("_s", mark).join(copies, [*keys, "_s"], how).drop("_s")
 
 
 def attach_group_values(df: DataFrame, keys: list[str], aggs: list[Column], salt: int = 16) -> DataFrame:
-    """Each row with aggregates of its group, as a window without ordering would give.
-
-    The aggregate is partial before the shuffle; its few rows are repeated per salt, so that the rows
-    of a hot group spread over ``salt`` tasks in the join.
-    """
-    groups = df.groupBy(*keys).agg(*aggs).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    salted = df.withColumn("_s", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt)).cast("int"))
-    return salted.join(groups, [*keys, "_s"], "left").drop("_s")
+    """Each row with aggregates of its group, as a window without ordering would give; NULL keys get none."""
+    return salted_lookup(df, df.groupBy(*keys).agg(*aggs), keys, "left", salt)
 
 
 def values_at_ranks(

@@ -48,6 +48,20 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order_column
     return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def newest_rows(target: DataFrame, incoming: DataFrame, keys: list[str], order_column: str) -> DataFrame:
+    """The incoming rows, except where the target already holds a newer row of the key; on a tie the incoming row wins."""
+    fresh = one_per_key(require_keys(incoming, keys), keys, order_column).withColumn("_incoming", F.lit(1))
+    stored = target.join(fresh.select(*keys), keys, "left_semi").select(*incoming.columns).withColumn("_incoming", F.lit(0))
+    order = [F.col(order_column).desc_nulls_last(), F.col("_incoming").desc()]
+    return top_per_key(fresh.unionByName(stored), keys, order).drop("_rn", "_incoming")
+
+
+def upsert_newest(target: DataFrame, incoming: DataFrame, keys: list[str], order_column: str) -> DataFrame:
+    """Upsert in which a late row never replaces a newer stored one; both sides need the same columns."""
+    fresh = newest_rows(target, incoming, keys, order_column)
+    return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
 def changed_rows(
     target: DataFrame, incoming: DataFrame, keys: list[str], hash_column: str = "_row_hash",
     order_column: str | None = None,
@@ -80,6 +94,15 @@ def replace_window(target: DataFrame, incoming: DataFrame, column: str, cutoff:
     return target.filter(late).unionByName(fresh, allowMissingColumns=True)
 
 
+def replace_window_touched(target: DataFrame, incoming: DataFrame, column: str, cutoff: Column, partition: str, boundary) -> DataFrame:
+    """The replaced window of a table partitioned by a value that rises with ``column``.
+
+    ``boundary`` is the partition that holds the cutoff. Only it and later partitions are read and
+    returned; the filter on the partition column prunes the others.
+    """
+    return replace_window(target.filter(F.col(partition) >= F.lit(boundary)), incoming, column, cutoff)
+
+
 def merge_actions(
     target: DataFrame, incoming: DataFrame, keys: list[str], hash_column: str | None = None,
     order_column: str | None = None,

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.keyed import nearest_rank_percentiles
+from ..functions.health import idempotency_key
+from ..operators.keyed import nearest_rank_percentiles, salted_lookup
 from ..session import millis_between, ntz, seconds_between, shift, trunc_ntz
 
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
@@ -88,19 +89,16 @@ def timeline(transitions: DataFrame, since=None, unit: str = "minute") -> DataFr
 
 
 def with_dataset(queue: DataFrame, datasets: DataFrame) -> DataFrame:
-    return queue.join(
-        datasets.select("dataset_id", "dataset_name", "source_type", "execution_state", "bronze_table", "silver_table"),
-        "dataset_id", "left",
-    )
+    names = datasets.select("dataset_id", "dataset_name", "source_type", "execution_state", "bronze_table", "silver_table")
+    return salted_lookup(queue, names, ["dataset_id"])
 
 
 def open_with_dataset(queue: DataFrame, datasets: DataFrame, source_type: str | None = None, preview: int = 200) -> DataFrame:
     """Open or failed items of registered datasets with a short error text."""
     ds = datasets if source_type is None else datasets.filter(F.col("source_type") == source_type)
     open_items = queue.filter(F.col("status").isin("PENDING", "FAILED", "CLAIMED", "RUNNING"))
-    return open_items.withColumn("error_preview", F.substring("last_error_message", 1, preview)).join(
-        ds.select("dataset_id", "dataset_name"), "dataset_id", "inner"
-    )
+    short = open_items.withColumn("error_preview", F.substring("last_error_message", 1, preview))
+    return salted_lookup(short, ds.select("dataset_id", "dataset_name"), ["dataset_id"], "inner")
 
 
 def next_to_run(queue: DataFrame, as_of, n: int) -> DataFrame:
@@ -137,6 +135,4 @@ def recently_finished(queue: DataFrame, n: int = 5) -> DataFrame:
 
 def remove_replays(items: DataFrame, *parts: str) -> DataFrame:
     """One row per idempotency key."""
-    from ..functions.health import idempotency_key
-
     return items.withColumn("idempotency_key", idempotency_key(*[F.col(p) for p in parts])).dropDuplicates(["idempotency_key"])

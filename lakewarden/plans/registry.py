@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any_case
 from ..operators.contract import fingerprint
+from ..operators.discovery import audit_rank
+from ..operators.keyed import attach_group_values
 from ..session import ntz, shift
 
 # Columns a page may be sorted by, searched columns, name patterns per source type.
@@ -82,12 +84,10 @@ def name_status(source_type: Column, name: Column) -> Column:
 
 
 def mark_duplicates(names: DataFrame, index: str, name: str) -> DataFrame:
-    """Later occurrences of a name point to its first index. First indexes come from a partial aggregate."""
-    key = F.upper(F.trim(F.col(name)))
-    first = names.groupBy(key.alias("_u")).agg(F.min(index).alias("first_index"))
-    return names.withColumn("_u", key).join(first, "_u", "left").drop("_u").withColumn(
-        "is_duplicate", F.col(index) > F.col("first_index")
-    )
+    """Later occurrences of a name point to its first index."""
+    keyed = names.withColumn("_u", F.upper(F.trim(F.col(name))))
+    out = attach_group_values(keyed, ["_u"], [F.min(index).alias("first_index")])
+    return out.drop("_u").withColumn("is_duplicate", F.col(index) > F.col("first_index"))
 
 
 def stale_watermarks(watermarks: DataFrame, as_of, hours: int = 48) -> DataFrame:
@@ -113,7 +113,5 @@ def pending_approvals(datasets: DataFrame, versions: DataFrame) -> DataFrame:
 
 def ranked_names(columns: DataFrame, name: str) -> DataFrame:
     """Column names with update-like ones first: rank 1 UPDATE, 2 ALTERACAO, 3 the rest."""
-    from ..operators.discovery import audit_rank
-
     return columns.withColumn("name_rank", audit_rank(F.col(name)))
 

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.commit import commit_partitions, commit_snapshot
-from ..operators.keyed import latest_per_key
-from ..operators.writes import one_per_key, require_keys, touched_partitions, upsert
+from ..operators.writes import newest_rows, one_per_key, require_keys, touched_partitions, upsert_newest
 from ..session import use_checkpoint_dir
 
 LATE_BOUND = "3 days"
@@ -32,20 +31,18 @@ def upsert_batch(
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = one_per_key(require_keys(batch, keys), keys, order_column)
         if not spark.catalog.tableExists(table):
+            fresh = one_per_key(require_keys(batch, keys), keys, order_column)
             if partition:
                 commit_partitions(fresh, table, root, partition)
             else:
                 commit_snapshot(fresh, table, root)
             return
-        current = spark.table(table)
-        # An older row of a late file must not replace a newer stored one.
-        stored = current.join(fresh.select(*keys), keys, "left_semi").select(*fresh.columns)
-        newest = latest_per_key(fresh.unionByName(stored), keys, order_column)
+        current = spark.table(table).select(*batch.columns)
         if not partition:
-            commit_snapshot(upsert(current, newest, keys, order_column), table, root)
+            commit_snapshot(upsert_newest(current, batch, keys, order_column), table, root)
             return
+        newest = newest_rows(current, batch, keys, order_column)
         values = [r[0] for r in touched_partitions(current, newest, keys, partition).collect()]
         kept = current.filter(F.col(partition).isin(values)).join(newest.select(*keys), keys, "left_anti")
         commit_partitions(kept.unionByName(newest), table, root, partition, touched=values)

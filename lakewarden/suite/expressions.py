@@ -161,9 +161,10 @@ def predicates(t: Tables):
 
 @query("row_numbers", "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as rownum from @orders")
 def row_numbers(t: Tables):
-    """ROWNUM in an explicit order over the whole table, numbered per month and shifted."""
-    o = t.orders.select("o_orderkey", "o_orderdate")
-    return keyed.number_rows(o, [F.col("o_orderdate"), F.col("o_orderkey")], x.trunc(F.col("o_orderdate"), "MM")).select("o_orderkey", "rownum")
+    """ROWNUM in an explicit order over the whole table; a crowded day is divided by key ranges."""
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    numbered = keyed.number_rows(t.orders.select("o_orderkey", "o_orderdate"), [day, key], [day, F.floor(key / 100_000)])
+    return numbered.select("o_orderkey", "rownum")
 
 
 @query(

@@ -767,6 +767,21 @@ def silver_promotion(t: Tables):
     return total(lines, "l_extendedprice", "lineitem").unionByName(total(orders, "o_totalprice", "orders"))
 
 
+@query("silver_increment", UPSERT)
+def silver_increment(t: Tables):
+    """Only the rows of the latest load are cast and merged."""
+    table = writes.append_log(hashed_orders(t.orders_target, "b0"), hashed_orders(t.orders_delta, "b1"))
+    return incremental.promote_to_silver(table, typed_orders(t.orders_target), ORDERS, batch_id="b1")[1]
+
+
+@query("replace_window_touched", f"select * from (select {ORDER_COLS} from @orders) o where o_orderdate >= TS'2000-12-01 00:00:00' and o_orderdate < TS'{DAY3}' union all select * from ({DELTA}) b")
+def replace_window_touched(t: Tables):
+    """Of a table partitioned by month, only the month of the cutoff and later ones are read and rewritten."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    target, delta = typed_orders(t.orders_target).withColumn("m", month), typed_orders(t.orders_delta).withColumn("m", month)
+    return writes.replace_window_touched(target, delta, "o_orderdate", ntz(DAY3), "m", "2000-12").drop("m")
+
+
 @query(
     "overlap_collection",
     """select e.* from @events e where ts >= (select max(ts) from @events) - SECS[259200] - SECS[900]""",
