@@ -143,7 +143,7 @@ DERIVED = {
         from @lineitem""",
     # Names of a source and of a catalog that differ slightly.
     "source_names": """
-        select distinct 'CMASTER.' || upper(replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '_') || '_' || p_type) ||
+        select distinct 'SRC.' || upper(replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '_') || '_' || p_type) ||
                case p_size % 4 when 0 then '' when 1 then 'S' when 2 then '_TB' else '_X' end as name
         from @part""",
     "catalog_names": """

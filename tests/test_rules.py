@@ -14,12 +14,12 @@ def one(spark, **cols):
 
 def test_signature_is_equal_for_equivalent_errors(spark):
     frames = lambda *f: F.array(*[F.lit(x) for x in f])
-    code = F.lit("SCHEMA_MISSING")
+    code = F.lit("FIELD_ABSENT")
     r = one(
         spark,
-        a=health.error_signature(code, F.lit("Column id_123 not found at 2026-03-01T01:01:01Z"), frames("fileA:99", "fileB:123")),
-        b=health.error_signature(code, F.lit("Column id_456 not found at 2026-03-01T01:02:00Z"), frames("fileA:88", "fileB:456")),
-        c=health.error_signature(code, F.lit("Other"), frames("fileA:88")),
+        a=health.error_signature(code, F.lit("Field c_17 absent since 2025-05-05T10:11:12Z"), frames("load.py:7", "main.py:31")),
+        b=health.error_signature(code, F.lit("field c_9 absent  since 2025-06-01T00:00:00.5Z"), frames("load.py:12", "main.py:4")),
+        c=health.error_signature(code, F.lit("Other"), frames("load.py:12")),
     )
     assert r.a == r.b != r.c
 

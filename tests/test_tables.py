@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators import bronze, commit, contract, discovery, incremental, keyed, reconcile, writes
 from lakewarden.operators.contract import ColumnSpec, Contract, ContractError
-from lakewarden.sources import jdbc, tables as sources
+from lakewarden.sources import batch, jdbc, tables as sources
 
 PEOPLE = "id bigint, name string, email string, batch int"
-BEFORE = [(1, "João", "joao@email.com", 100), (2, "Maria", "maria@email.com", 100), (3, "José", "jose@email.com", 100)]
-NOW = [(1, "João Silva", "joao_new@email.com", 101), (4, "Ana", "ana@email.com", 101)]
+BEFORE = [(1, "Ann", "ann@x.org", 100), (2, "Bob", "bob@x.org", 100), (3, "Cy", "cy@x.org", 100)]
+NOW = [(1, "Ann Lee", "ann2@x.org", 101), (4, "Dee", "dee@x.org", 101)]
 
 
 def rows(df):
@@ -344,6 +344,19 @@ def test_jdbc_reader_options():
     assert linked["dbtable"] == "(SELECT * FROM A.T@L) src" and "numPartitions" not in linked
 
 
+def test_failing_tables_become_result_rows(spark, tmp_path):
+    params = spark.createDataFrame(
+        [("p1", "d1", "A.T", None, "t_p1", None, None, None, None, None, True), ("p2", "d2", "A.U", None, "t_p2", None, None, None, None, None, False)],
+        "process_id string, dataset_id string, source_table string, expected_rows bigint, target_table string, fetch_size int, "
+        "num_partitions int, partition_column string, lower_bound bigint, upper_bound bigint, active boolean",
+    )
+    conn = jdbc.JdbcConnection("jdbc:none:x", "no.such.Driver")
+    out = batch.load_all(spark, params, conn, str(tmp_path)).collect()
+    assert [(r.process_id, r.status, r.row_count) for r in out] == [("p1", "FAILED", 0)] and out[0].error
+    seen = jdbc.reachable(spark, conn, ["A.T"]).collect()
+    assert not seen[0].ok and seen[0].error
+
+
 def test_existing_table_must_exist(spark):
     with pytest.raises(sources.SourceError):
         sources.read_existing(spark, "no_such_table")
