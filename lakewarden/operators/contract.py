@@ -186,13 +186,19 @@ def _prepared(df: DataFrame, spec: ColumnSpec) -> tuple[Column, str]:
     return F.nullif(text, F.lit("")), target
 
 
-def cast_to_contract(df: DataFrame, contract: Contract, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Contract columns only, cleaned and cast; a value that cannot be cast fails the job."""
+def cast_to_contract(df: DataFrame, contract: Contract, check_nulls: bool = False) -> DataFrame:
+    """Contract columns only, cleaned and cast; a value that cannot be cast fails the job.
+
+    With ``check_nulls`` a NULL in a required column fails it too, in the same pass.
+    """
     out = []
     for spec in contract.columns:
         value, target = _prepared(df, spec)
-        out.append(value.cast(target).alias(spec.name))
-    return df.select(*out, *[c.alias(n) for n, c in (extra or {}).items()])
+        typed = value.cast(target)
+        if check_nulls and not spec.nullable:
+            typed = F.when(typed.isNull(), F.raise_error(F.lit(f"NULLABILITY_VIOLATION: {spec.name}"))).otherwise(typed)
+        out.append(typed.alias(spec.name))
+    return df.select(*out)
 
 
 def audit_casts(df: DataFrame, contract: Contract, keys: list[str]) -> DataFrame:

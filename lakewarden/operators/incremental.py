@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..session import ntz, settle, shift
 from . import writes
 from .bronze import add_full_refresh_columns, add_technical_columns, clean_names
-from .contract import Contract, cast_to_contract, assert_nullability
+from .contract import Contract, cast_to_contract
 from .keyed import latest_per_key
 
 DEFAULT_LOOKBACK_DAYS = 3
@@ -226,14 +226,19 @@ def load_bronze(
 
     With ``stage`` the increment is read once into the checkpoint folder, so that counting, measuring and
     merging see the same rows even when the source changes meanwhile or an executor is lost; leave it out
-    for sources that do not change. When nothing is newer and the lookback is empty, nothing is written.
+    for sources that do not change. Full and append loads use each row once and are neither staged nor
+    counted. When nothing is newer and the lookback is empty, nothing is written.
     """
     source = clean_names(source)
     plan = choose_write(cfg)
-    if plan.operation == "OVERWRITE" and plan.strategy != "WATERMARK":
+    if not cfg.enable_incremental:
         rows = add_full_refresh_columns(source, run_id, cfg.source_name, as_of)
-        return BronzeLoad(plan.operation, plan.strategy, rows, rows, watermark)
-    increment = read_increment(source, cfg, watermark, as_of) if plan.operation in ("MERGE", "REPLACE_WHERE") else source
+        return BronzeLoad(plan.operation, plan.strategy, rows, source, watermark)
+    if plan.operation in ("OVERWRITE", "APPEND"):
+        rows = add_technical_columns(source, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
+        keep = plan.operation == "APPEND" and target is not None
+        return BronzeLoad(plan.operation, plan.strategy, writes.append_log(target, rows) if keep else rows, source, watermark)
+    increment = source if plan.operation == "HASH_MERGE" else read_increment(source, cfg, watermark, as_of)
     newer = True
     if plan.operation == "MERGE" and watermark and cfg.watermark:
         newer = has_newer(source, cfg.watermark, watermark)
@@ -251,13 +256,9 @@ def load_bronze(
     load.watermark_end = got.get("mark") or watermark
     rows = add_technical_columns(increment, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
     keys = list(cfg.primary_key)
-    if plan.operation == "APPEND":
-        load.state = rows if target is None else writes.append_log(target, rows)
-    elif plan.operation == "REPLACE_WHERE":
+    if plan.operation == "REPLACE_WHERE":
         low = shift(ntz(as_of), "DAY", -cfg.lookback_days)
         load.state = rows if target is None else writes.replace_window(target, rows, cfg.watermark, low)
-    elif plan.operation == "OVERWRITE":
-        load.state = rows
     elif target is None:
         load.state = writes.one_per_key(writes.require_keys(rows, keys), keys, cfg.watermark)
     elif plan.operation == "HASH_MERGE":
@@ -296,9 +297,7 @@ def promote_to_silver(
     by_batch = bool(batch_id and contract.primary_key and target is not None)
     if by_batch:
         rows = rows.filter(F.col("_batch_id") == batch_id)
-    typed = cast_to_contract(rows, contract)
-    if check_nulls:
-        assert_nullability(typed, contract)
+    typed = cast_to_contract(rows, contract, check_nulls)
     if by_batch:
         return "MERGE", writes.upsert_newest(target, typed, list(contract.primary_key), contract.order_column)
     if contract.primary_key:

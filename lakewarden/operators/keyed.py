@@ -86,7 +86,7 @@ def salted_lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "l
     A side small enough is still broadcast by the planner.
     """
     copies = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt)).cast("int")
+    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in tie_columns(df, [])]), F.lit(salt)).cast("int")
     return df.withColumn("_s", mark).join(copies, [*keys, "_s"], how).drop("_s")
 
 

@@ -45,13 +45,13 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order_column
     the keys are broadcast by the planner and the target is not shuffled.
     """
     fresh = one_per_key(require_keys(incoming, keys), keys, order_column)
-    return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return target.join(incoming.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def newest_rows(target: DataFrame, incoming: DataFrame, keys: list[str], order_column: str) -> DataFrame:
     """The incoming rows, except where the target already holds a newer row of the key; on a tie the incoming row wins."""
     fresh = one_per_key(require_keys(incoming, keys), keys, order_column).withColumn("_incoming", F.lit(1))
-    stored = target.join(fresh.select(*keys), keys, "left_semi").select(*incoming.columns).withColumn("_incoming", F.lit(0))
+    stored = target.join(incoming.select(*keys), keys, "left_semi").select(*incoming.columns).withColumn("_incoming", F.lit(0))
     order = [F.col(order_column).desc_nulls_last(), F.col("_incoming").desc()]
     return top_per_key(fresh.unionByName(stored), keys, order).drop("_rn", "_incoming")
 
@@ -59,7 +59,7 @@ def newest_rows(target: DataFrame, incoming: DataFrame, keys: list[str], order_c
 def upsert_newest(target: DataFrame, incoming: DataFrame, keys: list[str], order_column: str) -> DataFrame:
     """Upsert in which a late row never replaces a newer stored one; both sides need the same columns."""
     fresh = newest_rows(target, incoming, keys, order_column)
-    return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+    return target.join(incoming.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
 def changed_rows(
@@ -77,9 +77,21 @@ def upsert_changed(
     target: DataFrame, incoming: DataFrame, keys: list[str], hash_column: str = "_row_hash",
     order_column: str | None = None,
 ) -> DataFrame:
-    """Hash-guarded upsert: unchanged rows keep their stored version."""
-    fresh = changed_rows(target, incoming, keys, hash_column, order_column)
-    return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    """Hash-guarded upsert: unchanged rows keep their stored version.
+
+    Such a load usually reads the whole source, so both sides meet in one full join and each is shuffled once.
+    """
+    fresh = one_per_key(require_keys(incoming, keys), keys, order_column)
+    columns = target.columns + [c for c in fresh.columns if c not in target.columns]
+    types = {**{f.name: f.dataType for f in fresh.schema.fields}, **{f.name: f.dataType for f in target.schema.fields}}
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        fields = [(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns]
+        return df.select(*keys, F.struct(*fields).alias(name))
+
+    both = packed(target, "_t").join(packed(fresh, "_s"), keys, "full")
+    differs = F.col("_t").isNull() | F.col(f"_t.{hash_column}").isNull() | (F.col(f"_t.{hash_column}") != F.col(f"_s.{hash_column}"))
+    return both.select(F.when(F.col("_s").isNotNull() & differs, F.col("_s")).otherwise(F.col("_t")).alias("r")).select("r.*")
 
 
 def replace_window(target: DataFrame, incoming: DataFrame, column: str, cutoff: Column) -> DataFrame:
@@ -157,8 +169,8 @@ def upsert_touched(
     the increment, not the table. Write with ``commit.commit_partitions``.
     """
     fresh = one_per_key(require_keys(incoming, keys), keys, order_column)
-    touched = touched_partitions(target, fresh, keys, partition)
-    kept = target.join(touched, partition, "left_semi").join(fresh.select(*keys), keys, "left_anti")
+    touched = touched_partitions(target, incoming, keys, partition)
+    kept = target.join(touched, partition, "left_semi").join(incoming.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 

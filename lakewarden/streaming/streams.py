@@ -43,8 +43,8 @@ def upsert_batch(
             commit_snapshot(upsert_newest(current, batch, keys, order_column), table, root)
             return
         newest = newest_rows(current, batch, keys, order_column)
-        values = [r[0] for r in touched_partitions(current, newest, keys, partition).collect()]
-        kept = current.filter(F.col(partition).isin(values)).join(newest.select(*keys), keys, "left_anti")
+        values = [r[0] for r in touched_partitions(current, batch, keys, partition).collect()]
+        kept = current.filter(F.col(partition).isin(values)).join(batch.select(*keys), keys, "left_anti")
         commit_partitions(kept.unionByName(newest), table, root, partition, touched=values)
 
     return write

@@ -171,6 +171,23 @@ def test_required_column_with_nulls_is_refused(spark):
         contract.assert_nullability(df, Contract("d", 1, (ColumnSpec("id", "int", False),)))
 
 
+def test_required_column_fails_the_promotion(spark):
+    df = spark.createDataFrame([(1,), (None,)], "id int")
+    with pytest.raises(Exception, match="NULLABILITY_VIOLATION: id"):
+        incremental.promote_to_silver(df, None, Contract("d", 1, (ColumnSpec("id", "int", False),)))[1].collect()
+
+
+def test_append_and_full_loads(tables):
+    plain = incremental.LoadConfig("orders", "S.O", "SNAPSHOT", "SNAPSHOT", enable_incremental=False)
+    full = incremental.load_bronze(tables.orders, None, plain, "b1", "2024-01-01")
+    assert full.operation == "OVERWRITE" and {r._op for r in full.state.select("_op").distinct().collect()} == {"FULL_REFRESH"}
+    snap = incremental.load_bronze(tables.orders, None, incremental.LoadConfig("orders", "S.O", "SNAPSHOT", "SNAPSHOT"), "b1", "2024-01-01")
+    assert snap.operation == "OVERWRITE" and snap.state.filter("_row_hash is null").count() == 0
+    log = incremental.LoadConfig("orders", "S.O", "APPEND_LOG", "APPEND_LOG")
+    first = incremental.load_bronze(tables.orders, None, log, "b1", "2024-01-01")
+    assert incremental.load_bronze(tables.orders, first.state, log, "b2", "2024-01-02").state.count() == 2 * tables.orders.count()
+
+
 def test_closed_gate_stops_silver(spark):
     doc = lambda t: '{"columns":[{"name":"a","type":"%s","nullable":true}],"primary_key":[]}' % t
     active = spark.createDataFrame([("x", 1, doc("int")), ("y", 1, doc("int"))], "dataset_id string, schema_version int, expect_schema_json string")
