@@ -107,22 +107,22 @@ def point_status(status: Column) -> Column:
 
 
 def engine_status(engine_state: Column) -> Column:
-    """The portal status an engine state stands for."""
+    """The logged status an engine state stands for."""
     return _first_match([(engine_state == a, b) for a, b in ENGINE_STATES], F.lit("INCONSISTENT"))
 
 
-def reconciled_status(engine_state: Column, portal_status: Column) -> Column:
+def reconciled_status(engine_state: Column, logged_status: Column) -> Column:
     """Struct of the status to show, whether the two views disagree, and why."""
     mapped = engine_status(engine_state)
     unknown = mapped == "INCONSISTENT"
-    revived = (portal_status == "ORPHANED") & mapped.isin("RUNNING", "QUEUED")
-    behind = (portal_status == "RUNNING") & (mapped == "SUCCEEDED")
-    differs = (mapped != portal_status) & (portal_status != "SUCCEEDED_WITH_ISSUES")
+    revived = (logged_status == "ORPHANED") & mapped.isin("RUNNING", "QUEUED")
+    behind = (logged_status == "RUNNING") & (mapped == "SUCCEEDED")
+    differs = (mapped != logged_status) & (logged_status != "SUCCEEDED_WITH_ISSUES")
     return F.struct(
         mapped.alias("run_status"),
         F.when(unknown, F.lit(True)).when(revived, F.lit(False)).when(behind, F.lit(True)).otherwise(differs).alias("inconsistent"),
         F.when(unknown, F.lit("UNKNOWN_ENGINE_STATE")).when(revived, F.lit("RECONCILED_WITH_ACTIVE_ENGINE"))
-        .when(behind, F.lit("PORTAL_BEHIND_ENGINE")).alias("reason"),
+        .when(behind, F.lit("LOG_BEHIND_ENGINE")).alias("reason"),
     )
 
 

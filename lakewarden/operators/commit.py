@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +18,11 @@ from .writes import clustered, compaction_due
 
 
 def has_delta() -> bool:
+    """Whether the Delta package is installed."""
     try:
-        import delta.tables  # noqa: F401
-    except ImportError:
+        return find_spec("delta.tables") is not None
+    except ModuleNotFoundError:
         return False
-    return True
 
 
 def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet") -> str:

@@ -202,14 +202,25 @@ def cast_to_contract(df: DataFrame, contract: Contract, check_nulls: bool = Fals
 
 
 def audit_casts(df: DataFrame, contract: Contract, keys: list[str]) -> DataFrame:
-    """Values the cast would reject, one row each: keys, column, offending text. One narrow pass, no shuffle."""
-    probes = []
-    for spec in contract.columns:
+    """Values the cast would reject, one row each: keys, column, offending text. One narrow pass, no shuffle.
+
+    Columns that already have the contract's type cannot fail and are left out.
+    """
+    cleaned, probes = [], []
+    for i, spec in enumerate(contract.columns):
         value, target = _prepared(df, spec)
-        bad = value.isNotNull() & value.try_cast(target).isNull()
-        probes.append(F.when(bad, F.struct(F.lit(spec.name).alias("column_name"), value.cast("string").alias("bad_value"))))
-    found = F.filter(F.array(*probes), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(found).alias("_v")).select(*keys, "_v.column_name", "_v.bad_value")
+        if df.schema[resolve_source(df, spec)].dataType.simpleString() == target:
+            continue
+        cleaned.append(value.alias(f"_c{i}"))
+        c = F.col(f"_c{i}")
+        # A failing cast is slow, so each value is tried once: the probe keeps the text of a bad value or NULL.
+        text = F.when(c.isNotNull() & c.try_cast(target).isNull(), c.cast("string"))
+        probes.append(F.struct(F.lit(spec.name).alias("column_name"), text.alias("bad_value")))
+    if not probes:
+        empty = F.lit(None).cast("string")
+        return df.filter(F.lit(False)).select(*keys, empty.alias("column_name"), empty.alias("bad_value"))
+    tried = df.select(*keys, *cleaned).select(*keys, F.explode(F.array(*probes)).alias("_v"))
+    return tried.filter(F.col("_v.bad_value").isNotNull()).select(*keys, "_v.column_name", "_v.bad_value")
 
 
 def _unpivot_counts(one_row: DataFrame, labels: list[str], key: str, value: str) -> DataFrame:

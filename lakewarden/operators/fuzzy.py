@@ -137,8 +137,15 @@ def candidate_pairs(names: DataFrame, catalog: DataFrame) -> DataFrame:
     need_head = F.ceil((1.0 - (1.0 - F.col("cut")) / W_PREFIX) * F.greatest(a, b) - _EPS).cast("int")
     same_head = F.substring(F.col("norm"), F.lit(1), need_head) == F.substring(F.col("cat_norm"), F.lit(1), need_head)
     similar_size = W_INDEL * 2.0 * F.least(a, b) / (a + b) + W_JACCARD + W_PREFIX >= F.col("cut") - _EPS
-    met = left.select("norm", *keys).join(right, keys, "inner").filter(similar_size & same_head)
-    return met.select("norm", "cat_norm", "cut").distinct()
+    met = left.select("norm", *keys).join(right, keys, "inner").filter(similar_size & same_head).select("norm", "cat_norm", "cut")
+    # Scoring is heavy for few bytes, so the number of partitions follows the cores and not the data size; the
+    # distinct keeps this partitioning.
+    return met.repartition(_scoring_partitions(names), "norm", "cat_norm").distinct()
+
+
+def _scoring_partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:

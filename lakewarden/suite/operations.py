@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import health
 from ..operators import keyed
 from ..plans import business, jobs, queue, registry, runs
-from ..session import ntz
 from . import query
 from .tables import Tables
 
@@ -658,13 +657,13 @@ STATES = ("PENDING", "RUNNING", "TERMINATING", "TERMINATED", "SKIPPED", "INTERNA
         select queue_id, run_status, case when run_status = 'INCONSISTENT' then true when p = 'ORPHANED' and run_status in ('RUNNING', 'QUEUED') then false
             when p = 'RUNNING' and run_status = 'SUCCEEDED' then true else run_status <> p and p <> 'SUCCEEDED_WITH_ISSUES' end as inconsistent,
           case when run_status = 'INCONSISTENT' then 'UNKNOWN_ENGINE_STATE' when p = 'ORPHANED' and run_status in ('RUNNING', 'QUEUED') then 'RECONCILED_WITH_ACTIVE_ENGINE'
-            when p = 'RUNNING' and run_status = 'SUCCEEDED' then 'PORTAL_BEHIND_ENGINE' end as reason from x""",
+            when p = 'RUNNING' and run_status = 'SUCCEEDED' then 'LOG_BEHIND_ENGINE' end as reason from x""",
 )
 def engine_reconciliation(t: Tables):
     k = F.substring("queue_id", 3, 20).cast("bigint") % 7
     engine = F.element_at(F.array(*[F.lit(s) for s in STATES]), (k + 1).cast("int"))
-    portal = F.when(k == 5, F.lit("ORPHANED")).otherwise(F.col("status"))
-    return t.queue.select("queue_id", health.reconciled_status(engine, portal).alias("r")).select("queue_id", "r.*")
+    logged = F.when(k == 5, F.lit("ORPHANED")).otherwise(F.col("status"))
+    return t.queue.select("queue_id", health.reconciled_status(engine, logged).alias("r")).select("queue_id", "r.*")
 
 
 @query("idempotent_items", "select distinct 'ws1|' || job_id || '|' || dataset_id || '|' || cast(row_count % 3 as varchar) as idempotency_key from runs")

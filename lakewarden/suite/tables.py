@@ -42,7 +42,7 @@ DERIVED = {
     "datasets": """
         select 'ds_' || cast(c_custkey as STRING_T) as dataset_id, replace(upper(c_name), '#', '_') as dataset_name,
                'p_' || cast(c_nationkey % 5 as STRING_T) as project_id, c_mktsegment as area_id,
-               case c_nationkey % 3 when 0 then 'ORACLE' when 1 then 'SUPABASE' else 'TABLE' end as source_type,
+               case c_nationkey % 3 when 0 then 'ORACLE' when 1 then 'POSTGRES' else 'TABLE' end as source_type,
                case when c_custkey % 4 = 0 then 'PAUSED' else 'ACTIVE' end as execution_state,
                case c_custkey % 5 when 0 then null when 1 then true when 2 then true else false end as enable_incremental,
                case c_custkey % 4 when 0 then 'WATERMARK' when 1 then 'SNAPSHOT' when 3 then 'HASH_MERGE' end as incremental_strategy,
