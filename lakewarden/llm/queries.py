@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import exact_dedup, quality, simhash, toxicity
 
 
-def _table(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_exact_dedup": _table("documents", exact_dedup.groups),
-    "op10_simhash": _table("documents", simhash.near_duplicates),
+    "op4_toxicity": _over(toxicity.scores, "documents", "labels"),
+    "op8_quality": _over(quality.scores, "documents", "labels"),
+    "op9_exact_dedup": _over(exact_dedup.groups, "documents"),
+    "op10_simhash": _over(simhash.near_duplicates, "documents"),
 }
 
 ORACLES: dict[str, str] = {
