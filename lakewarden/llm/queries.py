@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, simhash, toxicity
+from . import exact_dedup, quality, simhash, token_files, toxicity
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,6 +14,7 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": _over(lambda docs: token_files.round_trip(docs, token_files.default_vocabulary()), "documents"),
     "op4_toxicity": _over(toxicity.scores, "documents", "labels"),
     "op8_quality": _over(quality.scores, "documents", "labels"),
     "op9_exact_dedup": _over(exact_dedup.groups, "documents"),
