@@ -1,13 +1,22 @@
-"""Training-data pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""Training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Toxic documents go, then all copies but the one with the largest id, then all near copies but the one with the
+smallest id, then documents that leak benchmark items; what is left is encoded with a SentencePiece model. Every stage
+but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import exact_dedup, simhash
+from lakewarden.llm import exact_dedup, sentencepieces, simhash, templates, toxicity
 from lakewarden.llm.common import staged
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs)
 
@@ -16,12 +25,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.representatives(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("near dedup", drop_near_copies)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return templates.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepieces.with_ids(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding", encode),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # learned scores, fingerprints and token ids have no form in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that every stage keeps, with their token ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
