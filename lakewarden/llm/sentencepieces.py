@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces, whole_text
 
@@ -206,4 +207,4 @@ def with_ids(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     rows = docs.select(whole_text().alias("_piece_text"), *[F.col(f"`{f.name}`") for f in kept])
     schema = rows.drop("_piece_text").schema
-    return rows.mapInArrow(task, schema.add("token_ids", "array<int>").add("n_tokens", "bigint"))
+    return rows.mapInArrow(task, schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
