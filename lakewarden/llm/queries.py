@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, sentencepieces, simhash, templates, token_files, toxicity
+from . import exact_dedup, pii, quality, sentencepieces, simhash, templates, token_files, toxicity
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": _over(lambda docs: token_files.round_trip(docs, token_files.default_vocabulary()), "documents"),
     "op3_template_decontamination": _over(templates.leaks, "documents", "benchmark"),
     "op4_toxicity": _over(toxicity.scores, "documents", "labels"),
+    "op5_pii": _over(pii.find, "documents"),
     "op6_sentencepieces": _over(sentencepieces.encoded, "documents"),
     "op8_quality": _over(quality.scores, "documents", "labels"),
     "op9_exact_dedup": _over(exact_dedup.groups, "documents"),
