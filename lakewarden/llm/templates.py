@@ -137,17 +137,23 @@ def windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
     return np.where(plain >= LITERALS, template, ~raw) if size >= WINDOW else ~raw
 
 
-_lexicon = Lexicon()  # one per Python worker, so that later tasks find its memory filled
+_lexicon = Lexicon()
+
+
+def lexicon() -> Lexicon:
+    """The one of this Python worker, so that later tasks find its memory filled."""
+    return _lexicon
 
 
 def _task(sizes: tuple[int, ...] | None, possible: Callable[[np.ndarray], np.ndarray] | None):
     """Windows of (key columns..., text); of sizes ``sizes``, or of one size per text (its length, WINDOW at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lexicon()
         for batch in batches:
             rows, hs, at, size, count, kinds_out, values = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                ids, kinds, hashes = _lexicon.tokens(text.as_py())
+                ids, kinds, hashes = known.tokens(text.as_py())
                 for s in sizes if sizes is not None else (min(len(ids), WINDOW),):
                     h = windows(kinds, hashes, s) if s else np.zeros(0, dtype=np.uint64)
                     hit = np.flatnonzero(possible(h)) if possible else np.arange(len(h))
@@ -158,7 +164,7 @@ def _task(sizes: tuple[int, ...] | None, possible: Callable[[np.ndarray], np.nda
                         size.append(s)
                         count.append(len(ids))
                         kinds_out.append(kinds[p : p + s].tolist())
-                        values.append([_lexicon.cores[k] for k in ids[p : p + s]])
+                        values.append([known.cores[k] for k in ids[p : p + s]])
             keys = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]]
             yield pa.RecordBatch.from_arrays([
                 *keys, pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(count, pa.int32()),
