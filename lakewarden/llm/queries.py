@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality, sentencepieces, simhash, templates, token_files, toxicity
+from . import exact_dedup, fixity, licenses, pii, quality, sentencepieces, simhash, templates, token_files, toxicity
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,16 +15,23 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": _over(lambda docs: token_files.round_trip(docs, token_files.default_vocabulary()), "documents"),
+    "op2_warc_fixity": _over(fixity.audited_copy, "pages"),
     "op3_template_decontamination": _over(templates.leaks, "documents", "benchmark"),
     "op4_toxicity": _over(toxicity.scores, "documents", "labels"),
     "op5_pii": _over(pii.find, "documents"),
     "op6_sentencepieces": _over(sentencepieces.encoded, "documents"),
+    "op7_licenses": _over(licenses.scan, "documents"),
     "op8_quality": _over(quality.scores, "documents", "labels"),
     "op9_exact_dedup": _over(exact_dedup.groups, "documents"),
     "op10_simhash": _over(simhash.near_duplicates, "documents"),
 }
 
 ORACLES: dict[str, str] = {
+    # The damage planted in the replica is known, so the audit's outcome is too.
+    "op2_warc_fixity": """
+        select page_id, cast(strlen(coalesce(html, '')) as bigint) as body_bytes, sha256(coalesce(html, '')) as body_sha256,
+               case when page_id % 101 = 1 then 'damaged' else 'intact' end as status
+        from pages""",
     "op9_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id is not distinct from max(doc_id) over same as kept, sha256(norm) as text_sha256
