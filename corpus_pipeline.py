@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewarden.llm import exact_dedup, sentencepieces, simhash, templates, toxicity
-from lakewarden.llm.common import staged
+from lakewarden.llm.common import importable, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ ORACLE_SQL = None  # learned scores, fingerprints and token ids have no form in
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that every stage keeps, with their token ids."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = importable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, fixity, licenses, pii, quality, sentencepieces, simhash, templates, token_files, toxicity
+from .common import importable
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
+    return lambda spark, sf_dir: operator(*[importable(spark).read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

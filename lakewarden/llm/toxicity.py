@@ -4,8 +4,9 @@ Folding lower-cases, replaces letters of other scripts that look like Latin ones
 digits and signs inside words into the letters they stand for. Everything but letters then separates words.
 
 The lexicon holds whole words and word beginnings, learned from a bounded sample of labelled rows: an entry must be
-clearly more frequent in toxic than in other texts, and its weight is the log ratio of the two rates. A beginning
-counts if several words share it, so that unseen endings are caught. All entries and the exception phrases form one
+clearly more frequent in toxic than in other texts, and its weight is the log ratio of the two rates. Toxic texts count
+once per least word hash, which near copies share, so that a family of copies does not make its rare words toxic. A
+beginning counts if several words share it, so that unseen endings are caught. All entries and the exception phrases form one
 automaton. Within a word the heaviest entry counts; entries inside an exception phrase (given, or learned as a phrase
 that only other texts contain) count nothing. The weights' sum is divided by the root of the number of words, and a
 logistic curve over this and the heaviest entry gives the score.
@@ -18,6 +19,7 @@ rate plus what matches add. Repeated rows score alike; extra columns are ignored
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, staged, training_sample, whole_text
 
-SAMPLE = 8000  # labelled rows that the lexicon and the curve are fitted on
-MIN_TEXTS = 3  # toxic texts that must contain an entry
-MIN_WEIGHT = 2.5
+SAMPLE = 12_000  # labelled rows that the lexicon and the curve are fitted on
+MIN_TEXTS = 3  # toxic texts, near copies counting once, that must contain an entry
+MIN_WEIGHT = 4.0  # of a word; at one toxic text in ten, an entry is then six times as often in toxic as in other texts
+MIN_START = 4.5  # of a beginning, which meets more innocent words
+PURITY = 30  # toxic texts per other text, at least, among those that contain an entry
 PREFIXES = (4, 5, 6, 7)
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown")
 
@@ -107,17 +111,26 @@ class Matcher:
 
 
 def _labelled(found: Callable[[str], set[str]], name: str):
-    """A task that yields what ``found`` returns for each text, with the text's label."""
+    """A task that yields what ``found`` returns for each text, with the text's label and its least word hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1)):
-                items = sorted(found(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array([label.as_py()] * len(items), pa.int64())], [name, "label"])
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                items = sorted(found(text))
+                family = min((zlib.crc32(w.encode()) for w in fold(text).split()), default=0)
+                values = [pa.array(items, pa.string()), pa.array([label] * len(items), pa.int64()), pa.array([family] * len(items), pa.int64())]
+                yield pa.RecordBatch.from_arrays(values, [name, "label", "family"])
 
     return run
 
 
+def _counted(rows: DataFrame, found: Callable[[str], set[str]], name: str) -> DataFrame:
+    """(name, bad, good): families of toxic texts and number of other texts that contain each item."""
+    each = rows.mapInArrow(_labelled(found, name), f"{name} string, label long, family long")
+    families = each.groupBy(name, "family").agg(F.max("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    return families.groupBy(name).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
 def _phrases_of(model: Model) -> Callable[[str], set[str]]:
     """Two-word phrases around a text's matches."""
     built: list[Matcher] = []
@@ -135,10 +148,10 @@ def _phrases_of(model: Model) -> Callable[[str], set[str]]:
     return found
 
 
-def _weighted(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+def _weighted(counts: DataFrame, toxic: int, clean: int, least: float) -> DataFrame:
     """(entry, weight) of the entries that are clearly more frequent in toxic texts."""
     rate = (F.col("bad") + 0.5) / F.lit(toxic + 1.0) / ((F.col("good") + 0.5) / F.lit(clean + 1.0))
-    return counts.withColumn("weight", F.log(rate)).filter(f"bad >= {MIN_TEXTS} and weight >= {MIN_WEIGHT}")
+    return counts.withColumn("weight", F.log(rate)).filter(f"bad >= {MIN_TEXTS} and weight >= {least} and bad >= {PURITY} * good")
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -154,31 +167,29 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Lexicon, exceptions and curve from at most about ``sample`` labelled rows outside the held-out fold.
 
-    Exact copies in the sample count once. Counting is done by Spark; what reaches the driver is the lexicon and
+    The lexicon comes from two thirds of the sample and the curve from the rest, so that it knows how far chance entries
+    can be trusted. Exact copies in the sample count once. Counting is done by Spark; what reaches the driver is the lexicon and
     three numbers per sampled row.
     """
     rows = staged(training_sample(docs, labels, label, sample).groupBy("text").agg(F.max("label").alias("label")), "toxicity")
+    if rows.isEmpty():
+        return Model({}, exceptions)
+    third = F.pmod(F.xxhash64("text"), F.lit(3))
+    rows, rest = rows.filter(third > 0), rows.filter(third == 0)
     sizes = {r["label"] > 0: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
-    if not toxic + clean:
-        return Model({}, exceptions)
-    counts = rows.mapInArrow(_labelled(lambda text: set(fold(text).split()), "word"), "word string, label long").groupBy("word").agg(
-        F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")
-    )
-    counts = staged(counts, "toxicity")
-    words = _weighted(counts, toxic, clean).select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "weight")
+    counts = staged(_counted(rows, lambda text: set(fold(text).split()), "word"), "toxicity")
+    words = _weighted(counts, toxic, clean, MIN_WEIGHT).select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "weight")
     starts = counts.select("*", F.explode(F.array(*[F.lit(n) for n in PREFIXES])).alias("n")).filter("length(word) > n")
     starts = starts.groupBy(F.concat(F.lit(" "), F.substring("word", F.lit(1), F.col("n"))).alias("entry")).agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("endings")
     )
-    starts = _weighted(starts, toxic, clean).filter("endings >= 3").select("entry", "weight")
+    starts = _weighted(starts, toxic, clean, MIN_START).filter("endings >= 3").select("entry", "weight")
     model = Model({r["entry"]: r["weight"] for r in words.union(starts).collect()}, exceptions)
-    phrases = rows.mapInArrow(_labelled(_phrases_of(model), "phrase"), "phrase string, label long").groupBy("phrase").agg(
-        F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")
-    )
+    phrases = _counted(rows, _phrases_of(model), "phrase")
     learned = [r["phrase"] for r in phrases.filter(f"good >= {MIN_TEXTS} and bad * 10 < good").collect()]
     model = Model(model.entries, (*exceptions, *sorted(learned)))
-    seen = rows.select("label", features_column(model)(F.col("text")).alias("f")).select("label", "f.*").toPandas()
+    seen = rest.select("label", features_column(model)(F.col("text")).alias("f")).select("label", "f.*").toPandas()
     curve = _curve(seen[["mean", "heaviest"]].to_numpy(float), seen["label"].to_numpy(float))
     return Model(model.entries, model.exceptions, curve, True)
 
