@@ -5,7 +5,7 @@ digits and signs inside words into the letters they stand for. Everything but le
 
 The lexicon holds whole words and word beginnings, learned from a bounded sample of labelled rows: an entry must be
 clearly more frequent in toxic than in other texts, and its weight is the log ratio of the two rates. Toxic texts count
-once per least word hash, which near copies share, so that a family of copies does not make its rare words toxic. A
+once per least hash of three words, which near copies share, so that a family of copies does not make its rare words toxic. A
 beginning counts if several words share it, so that unseen endings are caught. All entries and the exception phrases form one
 automaton. Within a word the heaviest entry counts; entries inside an exception phrase (given, or learned as a phrase
 that only other texts contain) count nothing. The weights' sum is divided by the root of the number of words, and a
@@ -111,13 +111,14 @@ class Matcher:
 
 
 def _labelled(found: Callable[[str], set[str]], name: str):
-    """A task that yields what ``found`` returns for each text, with the text's label and its least word hash."""
+    """A task that yields what ``found`` returns for each text, with the text's label and its least shingle hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 items = sorted(found(text))
-                family = min((zlib.crc32(w.encode()) for w in fold(text).split()), default=0)
+                words = fold(text).split()
+                family = min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])), default=zlib.crc32(text.encode()))
                 values = [pa.array(items, pa.string()), pa.array([label] * len(items), pa.int64()), pa.array([family] * len(items), pa.int64())]
                 yield pa.RecordBatch.from_arrays(values, [name, "label", "family"])
 
