@@ -49,6 +49,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``row`` beside working columns, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; plain ASCII texts take the faster function."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import packed, staged, whole_text
 from .components import components
 
 RADIUS, SEED, WORDS = 3, 42, 3
@@ -92,7 +92,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id the first in the order of all columns stays; of null ids, one row per component of null ids.
     """
-    best = _grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_near_id")).distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["_near_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("_near_rank", F.row_number().over(first)).filter("_near_rank = 1").select(docs.columns)
+    best = _grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("best")).distinct()
+    rows = packed(docs, F.col("doc_id").alias("id"))
+    kept = rows.join(best, rows["id"].eqNullSafe(best["best"]), "left_semi")
+    first = Window.partitionBy("id").orderBy("row")
+    return kept.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, staged, training_sample, whole_text
+from .common import held_out, packed, staged, training_sample, whole_text
 
 SAMPLE = 12_000  # labelled rows that the lexicon and the curve are fitted on
 MIN_TEXTS = 3  # toxic texts, near copies counting once, that must contain an entry
@@ -223,5 +223,5 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, unchanged."""
     model = fit(docs, labels)
-    rows = docs.withColumn("_tox_features", features_column(model)(whole_text()))
-    return rows.filter(score_of(model, F.col("_tox_features")) < threshold).select(docs.columns)
+    rows = packed(docs, features_column(model)(whole_text()).alias("f"))
+    return rows.filter(score_of(model, F.col("f")) < threshold).select("row.*")

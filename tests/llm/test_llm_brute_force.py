@@ -399,7 +399,7 @@ def test_lower_ascii(spark):
 def test_survivors_with_a_digest_that_two_texts_share(spark, monkeypatch):
     """If digests collide, texts decide."""
     keyed = exact_dedup._keyed
-    monkeypatch.setattr(exact_dedup, "_keyed", lambda d, t: keyed(d, True).withColumn("_dedup_sha", F.lit(b"x")).drop(*[] if t else ["_dedup_text"]))
+    monkeypatch.setattr(exact_dedup, "_keyed", lambda d, t, *c: keyed(d, True, *c).withColumn("_dedup_sha", F.lit(b"x")).drop(*[] if t else ["_dedup_text"]))
     got = exact_dedup.groups(as_docs(spark, ["a", "b", "A"])).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(0, 2, 2), (1, 1, 1), (2, 2, 2)]
 
