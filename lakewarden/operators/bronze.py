@@ -28,11 +28,16 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def text_of(column: str, data_type: T.DataType) -> Column:
-    """Stable text of a value: timestamps to the second, NULL as a visible marker."""
+    """Stable text of a value: timestamps to the second, NULL as a marker that no value can equal."""
     value = F.col(f"`{column}`")
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         value = F.date_trunc("second", value).cast(data_type)
-    return F.coalesce(value.cast("string"), F.lit(NULL_MARK))
+    return escaped(value.cast("string"))
+
+
+def escaped(text: Column) -> Column:
+    """A part of a joined text: its length goes first, so that no separator or marker inside it can be mistaken."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(NULL_MARK))
 
 
 def hashed_columns(df: DataFrame, watermark: str | None = None, volatile: list[str] | None = None) -> list[str]:
@@ -50,7 +55,7 @@ def row_hash(df: DataFrame, watermark: str | None = None, volatile: list[str] |
 
 def key_text(columns: list[str]) -> Column:
     """Several key columns as one text value with NULLs kept apart."""
-    return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns])
+    return F.concat_ws(KEY_SEPARATOR, *[escaped(F.col(c).cast("string")) for c in columns])
 
 
 def add_technical_columns(

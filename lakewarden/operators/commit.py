@@ -13,6 +13,7 @@ import uuid
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .writes import clustered, compaction_due
 
@@ -42,12 +43,20 @@ def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet")
 
 
 def commit_append(df: DataFrame, table: str, root: str, fmt: str = "parquet") -> None:
-    """Add rows to a table, creating it on first use."""
+    """Add rows to a table, creating it on first use. Columns that the table lacks are added to it first, with NULL in its
+    older rows; columns that ``df`` lacks are NULL in the new ones. Columns are matched by name."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
         commit_snapshot(df, table, root, fmt)
         return
-    df.select(*spark.table(table).columns).write.insertInto(table)
+    known = {c.lower() for c in spark.table(table).columns}
+    added = [f for f in df.schema.fields if f.name.lower() not in known]
+    if added:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in added)})")
+    given = {c.lower(): c for c in df.columns}
+    now = spark.table(table).schema.fields
+    rows = [F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None) for f in now]
+    df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(rows, now)]).write.insertInto(table)
     spark.catalog.refreshTable(table)
 
 
@@ -98,11 +107,18 @@ def compact(
     table: str, keys: list[str], root: str, spark: SparkSession, merges_since: int | None = None,
     threshold: int | None = None, last_done=None, partitions: int | None = None,
 ) -> bool:
-    """Rewrite a table in key order when due; the caller resets its merge counter on True."""
+    """Rewrite a table, or each of its partitions, in key order when due; the caller resets its merge counter on True."""
     if not compaction_due(merges_since, threshold, last_done):
         return False
     state = spark.table(table)
-    commit_snapshot(clustered(state, keys, partitions) if keys else state.hint("rebalance"), table, root)
+    rows = clustered(state, keys, partitions) if keys else state.hint("rebalance")
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if len(parts) > 1:
+        raise ValueError("Tables with several partition columns are compacted by their table format")
+    if parts:
+        commit_partitions(rows, table, root, parts[0])
+    else:
+        commit_snapshot(rows, table, root)
     return True
 
 

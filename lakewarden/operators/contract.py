@@ -366,11 +366,14 @@ def fingerprint(text: Column) -> Column:
 
 
 def _exploded(versions: DataFrame, status: str, prefix: str) -> DataFrame:
+    """Columns of one version each, with names folded and precision in the type, as in ``fingerprint``."""
+    digits = [F.col(f"c.decimal.{p}").cast("string") for p in ("precision", "scale")]
+    decimals = F.coalesce(F.concat(F.lit("("), digits[0], F.lit(","), digits[1], F.lit(")")), F.lit(""))
     return (
         versions.filter(F.col("status") == status)
         .select("dataset_id", F.explode(parse_contract_column(F.col("expect_schema_json"))["columns"]).alias("c"))
         .select(
-            "dataset_id", F.col("c.name").alias("column_name"), F.lower("c.type").alias(f"{prefix}_type"),
+            "dataset_id", F.lower("c.name").alias("column_name"), F.concat(F.lower("c.type"), decimals).alias(f"{prefix}_type"),
             F.coalesce("c.nullable", F.lit(False)).alias(f"{prefix}_nullable"),
         )
     )
@@ -409,18 +412,25 @@ def change_summary(versions: DataFrame) -> DataFrame:
     )
 
 
-def gate_changes(active: DataFrame, observed: DataFrame) -> DataFrame:
+def gate_changes(active: DataFrame, observed: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """Decide what an observed contract means for each dataset.
 
-    Equal fingerprints pass. A difference becomes a new PENDING version: bronze goes on, silver stops.
-    Both inputs carry dataset_id and expect_schema_json; ``active`` also schema_version.
+    Equal fingerprints pass. A difference becomes a new PENDING version: bronze goes on, silver stops. A dataset
+    without an ACTIVE version gets its first PENDING one. Where ``pending`` already holds the observed contract, its
+    version is kept and none is proposed again. All inputs carry dataset_id and expect_schema_json; ``active`` and
+    ``pending`` also schema_version.
     """
     a = active.select("dataset_id", "schema_version", fingerprint(F.col("expect_schema_json")).alias("active_fp"))
     o = observed.select("dataset_id", fingerprint(F.col("expect_schema_json")).alias("observed_fp"))
-    changed = F.col("active_fp") != F.col("observed_fp")
-    return o.join(a, "dataset_id", "inner").select(
+    changed = ~F.coalesce(F.col("active_fp") == F.col("observed_fp"), F.lit(False))
+    joined, proposed = o.join(a, "dataset_id", "left"), F.coalesce(F.col("schema_version"), F.lit(0)) + 1
+    if pending is not None:
+        known = pending.select("dataset_id", fingerprint(F.col("expect_schema_json")).alias("observed_fp"), F.col("schema_version").alias("_known"))
+        joined = joined.join(known.groupBy("dataset_id", "observed_fp").agg(F.min("_known").alias("_known")), ["dataset_id", "observed_fp"], "left")
+        proposed = F.coalesce(F.col("_known"), proposed)
+    return joined.select(
         "dataset_id", "active_fp", "observed_fp",
-        F.when(changed, F.col("schema_version") + 1).otherwise(F.col("schema_version")).cast("int").alias("schema_version"),
+        F.when(changed, proposed).otherwise(F.col("schema_version")).cast("int").alias("schema_version"),
         F.when(changed, F.lit("PENDING")).otherwise(F.lit("ACTIVE")).alias("version_status"),
         F.when(changed, F.lit("BLOCKED_SCHEMA_CHANGE")).otherwise(F.lit("ACTIVE")).alias("execution_state"),
         F.lit(True).alias("bronze_allowed"), (~changed).alias("silver_allowed"),

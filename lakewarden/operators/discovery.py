@@ -54,10 +54,9 @@ WATERMARK_KEYWORDS = (
 )
 WATERMARK_PARTS = ("update", "modif", "alter", "ultima", "ult_", "atualizacao")
 DATE_NAME_PARTS = ("date", "time", "dt", "created", "updated", "modified")
-SAMPLE_ROWS = 100_000
-MAX_SINGLES, MAX_PAIRS, MAX_TRIPLES = 10, 15, 20
-PAIR_POOL, TRIPLE_POOL = 8, 7
-FULL_CHECK_ROWS = 5_000_000
+SKETCH_LOG = 12
+SKETCH_ERROR = 6 * 1.04 / 2 ** (SKETCH_LOG / 2)  # six standard errors of the distinct sketch
+SETS_PER_PASS = 200  # sketches of 4 KB in one pass over the table
 
 _TIMELIKE = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NOT_KEYS = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
@@ -106,7 +105,7 @@ def suggest_watermark(df: DataFrame, configured: str | None = None) -> tuple[str
 def distinct_estimate(value: Column) -> Column:
     """Distinct non-NULL values from a sketch (about 2% error). The sketch is one binary buffer, so a pass may hold
     hundreds of them for a wide table."""
-    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(12))), F.lit(0))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(value.isNotNull(), F.xxhash64(value)), F.lit(SKETCH_LOG))), F.lit(0))
 
 
 def column_profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
@@ -156,7 +155,8 @@ def watermark_fits(df: DataFrame, column: str) -> bool:
 
 
 def uniqueness(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Total, distinct and duplicate counts of a key; NULLs count as a value of their own."""
+    """Total, distinct and duplicate counts of a key. In a key of several columns NULL is a value of its own; the NULLs of
+    a single column are not counted as a value, as in a plain distinct count."""
     text = F.col(keys[0]).cast("string") if len(keys) == 1 else key_text(keys)
     one = df.select(text.alias("k")).agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("k").alias("distinct_rows"))
     return one.withColumn("duplicate_count", F.col("total_rows") - F.col("distinct_rows")).withColumn(
@@ -254,36 +254,31 @@ def key_rank(name: str, data_type: T.DataType, required: bool, distinct: int | N
     return score
 
 
-def _first_unique(df: DataFrame, sets: list[tuple[str, ...]], wanted_rows: int, rows: int) -> tuple[str, ...] | None:
-    """The first column set that is unique on a sample.
+def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
+    """Distinct rows of each column set from sketches, SETS_PER_PASS sets in one pass; only the counts come back."""
+    out: list[int] = []
+    for at in range(0, len(sets), SETS_PER_PASS):
+        part = sets[at : at + SETS_PER_PASS]
+        value = lambda s: F.struct(*[F.col(f"`{c}`") for c in s])
+        out += list(df.agg(*[distinct_estimate(value(s)).alias(f"u{i}") for i, s in enumerate(part)]).collect()[0])
+    return out
 
-    The sample is drawn by a hash of the row, so that each run and each retry sees the same rows. One
-    pass of sketches over all sets leaves those that can be unique; only these are counted exactly.
-    """
-    sample = df
-    if rows > wanted_rows:
-        used = sorted({c for s in sets for c in s})
-        cut = int(2**31 * (wanted_rows / rows))
-        sample = df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in used]), F.lit(2**31)) < cut)
-    value = lambda s: F.struct(*[F.col(f"`{c}`") for c in s])
-    number = F.count(F.lit(1)).alias("n")
-    guess = sample.agg(number, *[distinct_estimate(value(s)).alias(f"u{i}") for i, s in enumerate(sets)]).collect()[0]
-    likely = [s for i, s in enumerate(sets) if guess[f"u{i}"] >= 0.85 * guess["n"]]
-    if not likely:
-        return None
-    exact = sample.agg(number, *[F.count_distinct(value(s)).alias(f"u{i}") for i, s in enumerate(likely)]).collect()[0]
-    return next((s for i, s in enumerate(likely) if exact[f"u{i}"] == exact["n"]), None)
+
+def _is_unique(df: DataFrame, columns: tuple[str, ...]) -> bool:
+    return df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().filter("count > 1").isEmpty()
 
 
 def discover_key(
     df: DataFrame, declared: list[str] | None = None, watermarks: list[str] | None = None, rows: int | None = None,
-    required: list[str] | None = None, sample_rows: int = SAMPLE_ROWS,
+    required: list[str] | None = None,
 ) -> KeyFinding:
-    """A key for a table without a constraint.
+    """A minimal key for a table without a constraint, found on the whole table.
 
-    A declared key wins. Otherwise columns are ranked by a sketch of their cardinality, single columns
-    are tested on a sample, then pairs, then triples, and the first unique set is confirmed on the
-    whole table. Only counts return to the driver.
+    A declared key wins. Otherwise all column sets are tested level by level, smallest first, and within a level
+    in the order of their columns' promise. A set is passed over only if it cannot be a key: the product of its
+    columns' distinct counts, or its own sketch, stays below the row count by more than the sketches' error.
+    What is left is confirmed by an exact count until one set holds; as all smaller sets were ruled out before, it is
+    minimal. The search starts only if all eligible columns together are unique, so that it ends with a key.
     """
     if declared:
         return KeyFinding(tuple(declared), "CONSTRAINT", 1.0, "declared", rows=rows or 0)
@@ -300,39 +295,32 @@ def discover_key(
     distinct = {f.name: sketch[f"d{i}"] for i, f in enumerate(fields)}
     filled = {f.name: sketch[f"z{i}"] == 0 or f.name.upper() in must for i, f in enumerate(fields)}
     ranked = sorted(fields, key=lambda f: key_rank(f.name, f.dataType, filled[f.name], distinct[f.name], total), reverse=True)
-    names = [f.name for f in ranked[:MAX_SINGLES]]
-    stages = (
-        ("single_col_sample", [(c,) for c in names]),
-        ("combo_2col_sample", list(combinations(names[:PAIR_POOL], 2))[:MAX_PAIRS]),
-        ("combo_3col_sample", list(combinations(names[:TRIPLE_POOL], 3))[:MAX_TRIPLES]),
-    )
-    chosen, method = None, None
-    for label, sets in stages:
-        # A set whose columns cannot reach the row count together is not worth an exact test.
-        sets = [s for s in sets if _could_be_unique(s, distinct, total)]
-        if not sets:
-            continue
-        chosen = _first_unique(df.select(*[f"`{c}`" for c in sorted({c for s in sets for c in s})]), sets, sample_rows, total)
+    names = [f.name for f in ranked]
+    tested = 0
+    least = total * (1 - SKETCH_ERROR)
+    everything = tuple(names)
+    if not total or (_estimates(df, [everything])[0] < least) or not _is_unique(df, everything):
+        return KeyFinding(tested=1, rows=total)
+    for size in range(1, len(names) + 1):
+        sets = [s for s in combinations(names, size) if _could_be_unique(s, distinct, total)]
+        likely = [s for s, n in zip(sets, _estimates(df, sets)) if n >= least]
+        tested += len(sets)
+        chosen = next((s for s in likely if _is_unique(df, s)), None)
         if chosen:
-            method = f"{label}_{sample_rows // 1000}k"
             break
-    if not chosen:
-        return KeyFinding(tested=len(names), rows=total)
-    small = (rows or total) <= FULL_CHECK_ROWS
-    if df.groupBy(*chosen).count().filter("count > 1").limit(1).count():
-        return KeyFinding(tested=len(names), rows=total)
     score = 0.60 + 0.10
     if all(filled[c] for c in chosen):
         score += 0.15
     if all(distinct[c] / total > 0.8 for c in chosen):
         score += 0.10
-    return KeyFinding(chosen, "CANDIDATE_DISCOVERY", round(min(score, 0.99), 2), method, small, not small, len(names), total)
+    method = "single_col" if len(chosen) == 1 else f"combo_{len(chosen)}col"
+    return KeyFinding(chosen, "CANDIDATE_DISCOVERY", round(min(score, 0.99), 2), method, True, True, tested, total)
 
 
 def _could_be_unique(columns: tuple[str, ...], distinct: dict[str, int], rows: int) -> bool:
     reach = 1.0
     for c in columns:
-        reach *= distinct[c] * 1.2 + 2
+        reach *= distinct[c] * (1 + SKETCH_ERROR) + 1  # NULL may be one more value
     return reach >= rows
 
 
@@ -347,9 +335,13 @@ class Strategy:
 
 
 def decide_strategy(
-    watermark: str | None, watermark_valid: bool, key: KeyFinding, rows: int | None, volatile: list[str] | None = None,
+    watermark: str | None, watermark_valid: bool, key: KeyFinding, rows: int | None = None, volatile: list[str] | None = None,
 ) -> Strategy:
-    """How to load a table: WATERMARK, HASH_MERGE, REQUIRES_CDC, SNAPSHOT or APPEND_LOG."""
+    """How to load a table: WATERMARK, HASH_MERGE or SNAPSHOT.
+
+    Watermark fitness and key confidence decide alone. The row count is only recorded: a table does not change how
+    it is loaded by growing, and no full read is ever appended, which would collect duplicates.
+    """
     meta: dict = {"table_size_rows": rows}
     if key.columns:
         meta |= {"pk": list(key.columns), "pk_source": key.source, "pk_confidence": key.confidence}
@@ -357,33 +349,17 @@ def decide_strategy(
         meta |= {"watermark_column": watermark, "hash_exclude_cols": list(volatile or [])}
         return Strategy("WATERMARK", "Auto-discovery selected WATERMARK", meta)
     sure = bool(key.columns) and key.confidence >= 0.90
-    if sure and rows and 10_000_000 <= rows <= 100_000_000:
+    if sure:
         meta["hash_exclude_cols"] = list(volatile or [])
         return Strategy("HASH_MERGE", "Auto-discovery selected HASH_MERGE", meta)
-    if key.columns and rows and rows > 100_000_000:
-        return Strategy("REQUIRES_CDC", "Table too large for full scan hash comparison", meta)
-    if key.columns and not sure:
+    if key.columns:
         return Strategy("SNAPSHOT", f"PK candidate found but confidence too low ({key.confidence})", meta)
-    if rows and rows < 1_000_000:
-        return Strategy("SNAPSHOT", "Small table, SNAPSHOT is efficient", meta)
-    reason = "No PK and no reliable timestamp column" if not key.columns else "No reliable timestamp column"
-    return Strategy("APPEND_LOG", reason, meta)
+    return Strategy("SNAPSHOT", "No PK and no reliable timestamp column", meta)
 
 
-def decide_strategy_column(
-    watermark_valid: Column, key_confidence: Column, rows: Column,
-) -> Column:
+def decide_strategy_column(watermark_valid: Column, key_confidence: Column) -> Column:
     """The same decision for many tables at once, as a column; NULL confidence means no key."""
-    has_key = key_confidence.isNotNull()
-    sure = F.coalesce(key_confidence >= 0.90, F.lit(False))
-    return (
-        F.when(watermark_valid, F.lit("WATERMARK"))
-        .when(sure & rows.between(10_000_000, 100_000_000), F.lit("HASH_MERGE"))
-        .when(has_key & (rows > 100_000_000), F.lit("REQUIRES_CDC"))
-        .when(has_key & ~sure, F.lit("SNAPSHOT"))
-        .when((rows > 0) & (rows < 1_000_000), F.lit("SNAPSHOT"))
-        .otherwise(F.lit("APPEND_LOG"))
-    )
+    return F.when(watermark_valid, F.lit("WATERMARK")).when(key_confidence >= 0.90, F.lit("HASH_MERGE")).otherwise(F.lit("SNAPSHOT"))
 
 
 def discover(df: DataFrame, declared_key: list[str] | None = None, watermark: str | None = None) -> Strategy:

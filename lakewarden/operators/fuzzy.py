@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 from .keyed import top_per_key
 
-# Weights, thresholds by name length, gap between best and second candidate, known prefixes.
+# Weights, thresholds by name length, gap between best and second candidate.
 W_INDEL, W_JACCARD, W_PREFIX = 0.5, 0.3, 0.2
 THRESHOLDS = ((10, 0.95), (26, 0.90), (None, 0.85))
 CLEAR_GAP = 0.05
-OWNER_PREFIXES = r"^(cmaster_|rhmeta_|civil_\d+_rhp_)"
 _EPS = 1e-9
 
 
-def normal_name(name: Column) -> Column:
-    """Lower case, last part of a dotted name, known owner prefixes and extra underscores removed."""
+def normal_name(name: Column, owner_prefixes: str | None = None) -> Column:
+    """Lower case, last part of a dotted name, extra underscores removed; ``owner_prefixes`` is a pattern of prefixes to drop."""
     last = F.element_at(F.split(F.lower(F.trim(name)), r"\."), -1)
-    return F.trim(F.regexp_replace(F.regexp_replace(last, OWNER_PREFIXES, ""), "_+", "_"), F.lit("_"))
+    bare = F.regexp_replace(last, f"^(?:{owner_prefixes})", "") if owner_prefixes else last
+    return F.trim(F.regexp_replace(bare, "_+", "_"), F.lit("_"))
 
 
 def threshold(name: Column) -> Column:

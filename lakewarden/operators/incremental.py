@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,10 +79,11 @@ def choose_write(cfg: LoadConfig) -> WritePlan:
     return WritePlan("OVERWRITE", "SNAPSHOT", "POLICY_VIOLATION: CURRENT without key or watermark")
 
 
-def choose_write_column(mode: Column, strategy: Column, has_key: Column, watermark: Column) -> Column:
-    """The operation for many registry rows at once."""
+def choose_write_column(mode: Column, strategy: Column, has_key: Column, watermark: Column, enabled: Column) -> Column:
+    """The operation of ``choose_write`` for many registry rows at once."""
     return (
-        F.when(mode == "APPEND_LOG", F.lit("APPEND"))
+        F.when(~enabled, F.lit("OVERWRITE"))
+        .when(mode == "APPEND_LOG", F.lit("APPEND"))
         .when(mode != "CURRENT", F.lit("OVERWRITE"))
         .when(has_key & (strategy == "HASH_MERGE"), F.lit("HASH_MERGE"))
         .when(has_key, F.lit("MERGE"))
@@ -111,13 +113,14 @@ def effective_watermarks(registry: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def cutoff_text(watermark: str, lookback_days: int) -> str:
-    """Watermark minus lookback; a value that is not a timestamp is used unchanged."""
-    for fmt in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d"):
-        try:
-            return str(datetime.strptime(watermark.split(".")[0], fmt) - timedelta(days=lookback_days))
-        except ValueError:
-            continue
-    return watermark
+    """Watermark minus lookback. Dates and times are read in ISO form, with or without a zone (zoned ones become UTC);
+    numbers, which have no days, are used unchanged; anything else is an error, as its late rows would be missed."""
+    if re.fullmatch(r"[+-]?[0-9]+([.][0-9]+)?", watermark.strip()):
+        return watermark
+    at = datetime.fromisoformat(watermark.strip())
+    if at.tzinfo is not None:
+        at = at.astimezone(timezone.utc).replace(tzinfo=None)
+    return str(at.replace(microsecond=0) - timedelta(days=lookback_days))
 
 
 def typed_bound(df: DataFrame, column: str, value: str) -> Column:
@@ -298,6 +301,8 @@ def promote_to_silver(
     if by_batch:
         rows = rows.filter(F.col("_batch_id") == batch_id)
     typed = cast_to_contract(rows, contract, check_nulls)
+    if contract.primary_key:
+        typed = writes.require_keys(typed, list(contract.primary_key))
     if by_batch:
         return "MERGE", writes.upsert_newest(target, typed, list(contract.primary_key), contract.order_column)
     if contract.primary_key:

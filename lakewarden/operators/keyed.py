@@ -18,6 +18,13 @@ def tie_columns(df: DataFrame, skip: list[str]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in skip and not isinstance(f.dataType, _UNORDERABLE)]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys meet; the result has the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str = "_rn") -> DataFrame:
     """The first ``n`` rows per key. Spark applies the limit before the shuffle as well as after it."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -49,7 +56,7 @@ def carry_previous(
     ends = work.groupBy(*keys, "_b").agg(F.max_by(item, F.when(cond, F.struct(*order))).alias("_end"))
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_b", F.last("_end", ignorenulls=True).over(across).alias("_far"))
-    joined = rows.join(carried, [*keys, "_b"], "left")
+    joined = null_safe_join(rows, carried, [*keys, "_b"], "left")
     best = F.coalesce("_near", "_far")
     return joined.select(*df.columns, *[best[v].alias(f"{prefix}{v}") for v in values])
 
@@ -69,9 +76,10 @@ def number_rows(df: DataFrame, order: list[Column], buckets: list[Column], name:
     if len(names) > 1:
         w = _before(Window.partitionBy(names[0]).orderBy(*names[1:]))
         inner = sizes.select(*names, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_more"))
-        starts = inner.join(starts, names[0], "inner").select(*names, (F.col("_start") + F.col("_more")).alias("_start"))
+        starts = null_safe_join(inner, starts, names[:1]).select(*names, (F.col("_start") + F.col("_more")).alias("_start"))
     inside = Window.partitionBy(*names).orderBy(*order)
-    numbered = work.withColumn("_i", F.row_number().over(inside)).join(starts, names, "inner")
+    numbered = work.withColumn("_i", F.row_number().over(inside))
+    numbered = null_safe_join(numbered, starts, names)
     return numbered.withColumn(name, F.col("_start") + F.col("_i")).drop(*names, "_i", "_start")
 
 
@@ -117,7 +125,7 @@ def values_at_ranks(
     )
     inside = Window.partitionBy(*keys, "_r", "_w").orderBy("_v")
     found = (
-        hist.join(hit.select(*keys, "_r", "_before", "_total", "_w"), [*keys, "_r"], "inner")
+        null_safe_join(hist, hit.select(*keys, "_r", "_before", "_total", "_w"), [*keys, "_r"])
         .withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
         .filter(F.col("_cum") >= F.col("_w.rank"))
     )

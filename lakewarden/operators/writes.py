@@ -145,7 +145,8 @@ def silver_state(
     """The silver write and its name: MERGE with a key, else REPLACE_WHERE, APPEND or OVERWRITE."""
     if contract.primary_key:
         if target is None:
-            return "MERGE", incoming
+            keys = list(contract.primary_key)
+            return "MERGE", one_per_key(require_keys(incoming, keys), keys, contract.order_column)
         return "MERGE", upsert(target, incoming, list(contract.primary_key), contract.order_column)
     if mode == "REPLACE_WHERE" and target is not None and window_column and cutoff is not None:
         return "REPLACE_WHERE", replace_window(target, incoming, window_column, cutoff)
@@ -174,25 +175,19 @@ def upsert_touched(
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def write_partitions(estimated_rows: int | None, configured: int | None = None) -> int:
-    """Files for a bulk write: the configured number, else by estimated rows."""
-    if configured:
+ROWS_PER_FILE = 1_000_000
+
+
+def write_partitions(estimated_rows: int | None, configured: int | None = None) -> int | None:
+    """Files for a bulk write: the configured number, else one per ROWS_PER_FILE; None leaves it to the engine."""
+    if configured or estimated_rows is None:
         return configured
-    if estimated_rows is None:
-        return 800
-    for limit, parts in ((1_000_000, 200), (10_000_000, 400), (50_000_000, 800)):
-        if estimated_rows < limit:
-            return parts
-    return 1600
+    return max(1, -(-estimated_rows // ROWS_PER_FILE))
 
 
 def write_partitions_column(estimated_rows: Column, configured: Column) -> Column:
     """The same rule for many tables at once."""
-    return F.coalesce(
-        configured,
-        F.when(estimated_rows.isNull(), 800).when(estimated_rows < 1_000_000, 200).when(estimated_rows < 10_000_000, 400)
-        .when(estimated_rows < 50_000_000, 800).otherwise(1600),
-    )
+    return F.coalesce(configured.cast("bigint"), F.greatest(F.lit(1), F.ceil(estimated_rows / F.lit(ROWS_PER_FILE))).cast("bigint"))
 
 
 def compaction_due(merges_since: int | None, threshold: int | None, last_done) -> bool:

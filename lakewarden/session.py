@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings that matter at scale. Partition counts are left to adaptive execution: a high initial
-# count that is coalesced afterwards survives both a 60k-row test and a 100 TB table.
+# Settings that matter at scale. Partition counts are left to adaptive execution, which merges small ones; the count it
+# starts from belongs to the cluster and is an argument of ``configure``.
 SCALE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,8 +18,14 @@ SCALE_SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Apply the scale settings to a session builder."""
+def configure(builder: SparkSession.Builder, initial_partitions: int | None = None) -> SparkSession.Builder:
+    """Apply the scale settings to a session builder.
+
+    ``initial_partitions`` is the number of shuffle partitions before adaptive execution merges small ones; on a
+    cluster give about three per core, or what keeps a partition of the largest shuffle below some hundred MB.
+    """
+    if initial_partitions:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions))
     for key, value in SCALE_SETTINGS.items():
         builder = builder.config(key, value)
     return builder
@@ -52,16 +58,22 @@ def millis_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", start, end)
 
 
-def use_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Return the cluster's checkpoint folder; set ``fallback`` only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
+    A session on one machine that has none gets a folder in its warehouse; on a cluster the setting is required.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return path.rstrip("/")
 
-def settle(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+
+def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor does not repeat an expensive read."""
-    use_checkpoint_dir(df.sparkSession, fallback_dir or "/tmp/lakewarden-checkpoint")
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

@@ -43,7 +43,7 @@ def load_all(spark: SparkSession, params: DataFrame, conn: JdbcConnection, root:
             commit_snapshot(counted, p.target_table, root)
             rows, status, error = seen.get["rows"], "SUCCESS", None
         except Exception as e:  # noqa: BLE001 - the error is the result
-            rows, status, error = 0, "FAILED", str(e).splitlines()[0][:1000]
+            rows, status, error = 0, "FAILED", str(e)
         took = time.monotonic() - began
         results.append((p.process_id, status, rows, took, rows / took if took else 0.0, error))
     return spark.createDataFrame(results, RESULT_SCHEMA)

@@ -97,10 +97,9 @@ def read_since(
     return df.filter(F.col(column) >= F.lit(cutoff_text(watermark, lookback_days)).cast(df.schema[column].dataType))
 
 
-def primary_key_of(spark: SparkSession, conn: JdbcConnection, query: str, fallback: str | None = "id") -> list[str]:
-    """Declared key columns from a catalog query of the source (column name first, in key order)."""
-    rows = [r[0] for r in conn.reader(spark).option("dbtable", f"({query}) k").load().collect()]
-    return rows or ([fallback] if fallback else [])
+def primary_key_of(spark: SparkSession, conn: JdbcConnection, query: str) -> list[str]:
+    """Declared key columns from a catalog query of the source (column name first, in key order); none if it has none."""
+    return [r[0] for r in conn.reader(spark).option("dbtable", f"({query}) k").load().collect()]
 
 
 def reachable(spark: SparkSession, conn: JdbcConnection, tables: list[str], rows: int = 5) -> DataFrame:
@@ -110,5 +109,5 @@ def reachable(spark: SparkSession, conn: JdbcConnection, tables: list[str], rows
         try:
             out.append((t, True, read_table(spark, conn, t).limit(rows).count(), None))
         except Exception as e:  # noqa: BLE001 - any driver error is the finding
-            out.append((t, False, 0, str(e).splitlines()[0][:500]))
+            out.append((t, False, 0, str(e)))
     return spark.createDataFrame(out, "table_name string, ok boolean, rows_seen bigint, error string")

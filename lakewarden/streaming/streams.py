@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.commit import commit_partitions, commit_snapshot
 from ..operators.writes import newest_rows, one_per_key, require_keys, touched_partitions, upsert_newest
-from ..session import use_checkpoint_dir
+from ..session import shared_dir
 
 LATE_BOUND = "3 days"
 
@@ -30,6 +30,13 @@ def upsert_batch(
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
+        rows = batch.persist()  # read once; several steps need it
+        try:
+            _write(rows)
+        finally:
+            rows.unpersist()
+
+    def _write(batch: DataFrame) -> None:
         spark = batch.sparkSession
         if not spark.catalog.tableExists(table):
             fresh = one_per_key(require_keys(batch, keys), keys, order_column)
@@ -91,6 +98,6 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> St
     )
 
 
-def checkpoint_path(spark: SparkSession, name: str, fallback: str) -> str:
+def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A query's checkpoint folder below the cluster's shared checkpoint folder."""
-    return f"{use_checkpoint_dir(spark, fallback).rstrip('/')}/streams/{name}"
+    return f"{shared_dir(spark)}/streams/{name}"

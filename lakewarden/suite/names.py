@@ -43,7 +43,7 @@ def ranked_column_names(t: Tables):
     return registry.ranked_names(t.part.select(n.alias("n")).distinct(), "n")
 
 
-NORM = r"trim(regexp_replace(regexp_replace(split_part(lower(trim({0})), '.', -1), '^(cmaster_|rhmeta_|civil_\d+_rhp_)', ''), '_+', '_', 'g'), '_')"
+NORM = r"trim(regexp_replace(split_part(lower(trim({0})), '.', -1), '_+', '_', 'g'), '_')"
 LCS = """list_reduce(list_transform(range(1, length(n) + 1), lambda i: [cast(unicode(substring(n, i, 1)) as bigint)]),
    lambda prev, x: list_reduce(list_transform(range(1, length(c) + 1), lambda j: [j]),
      lambda done, y: list_append(done, case when unicode(substring(c, y[1], 1)) = x[1] then prev[y[1]] + 1 else greatest(prev[y[1] + 1], done[-1]) end),

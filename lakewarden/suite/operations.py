@@ -203,20 +203,20 @@ def replay_sets(t: Tables):
 
 @query(
     "failed_with_dataset",
-    """select r.run_id, r.dataset_id, d.dataset_name, r.status, r.error_class, substring(r.error_message, 1, 20) as error_preview, r.started_at, r.finished_at
+    """select r.run_id, r.dataset_id, d.dataset_name, r.status, r.error_class, substring(r.error_message, 1, 500) as error_preview, r.started_at, r.finished_at
        from runs r join datasets d on d.dataset_id = r.dataset_id where r.status = 'FAILED' and d.source_type = 'ORACLE'""",
 )
 def failed_with_dataset(t: Tables):
-    return runs.failed_with_dataset(t.runs, t.datasets, "ORACLE", 20)
+    return runs.failed_with_dataset(t.runs, t.datasets, "ORACLE")
 
 
 @query(
     "open_items_with_dataset",
-    """select q.queue_id, d.dataset_name, q.status, substring(q.last_error_message, 1, 12) as error_preview from queue q join datasets d on d.dataset_id = q.dataset_id
+    """select q.queue_id, d.dataset_name, q.status, substring(q.last_error_message, 1, 200) as error_preview from queue q join datasets d on d.dataset_id = q.dataset_id
        where d.source_type = 'ORACLE' and q.status in ('PENDING', 'FAILED', 'CLAIMED', 'RUNNING')""",
 )
 def open_items_with_dataset(t: Tables):
-    return queue.open_with_dataset(t.queue, t.datasets, "ORACLE", 12).select("queue_id", "dataset_name", "status", "error_preview")
+    return queue.open_with_dataset(t.queue, t.datasets, "ORACLE").select("queue_id", "dataset_name", "status", "error_preview")
 
 
 @query(

@@ -124,10 +124,6 @@ DERIVED = {
                case when c_nationkey % 7 = 0 then ',{"name":"SEGMENT","type":"string","nullable":true}' else '' end ||
                ',{"name":"ID","type":"long","nullable":false}],"primary_key":["ID"],"order_column":"TS"}' as expect_schema_json
         from @customer where c_acctbal > 0""",
-    # The same with the column name unchanged, for comparing column by column.
-    "versions_named": """
-        select dataset_id, schema_version, status, replace(expect_schema_json, '"name":"name"', '"name":"NAME"') as expect_schema_json
-        from versions""",
     "orders_target": "select * from @orders where o_orderdate < TS'2001-01-01 00:00:00'",
     "orders_delta": """
         select o_orderkey, o_custkey, case when o_orderkey % 2 = 0 then 'P' else o_orderstatus end as o_orderstatus, o_totalprice,
@@ -216,9 +212,9 @@ class Tables:
 
     @cached_property
     def scratch(self) -> str:
-        """A new folder below the shared checkpoint folder of the cluster, or a temporary one on one machine."""
-        import tempfile
+        """A new folder below the one that all executors share."""
         import uuid
 
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{shared.rstrip('/')}/suite-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lakewarden-")
+        from ..session import shared_dir
+
+        return f"{shared_dir(self.spark)}/suite-{uuid.uuid4().hex}"

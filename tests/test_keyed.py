@@ -98,9 +98,19 @@ def test_indel_ratio(spark):
 
 
 def test_name_normalisation(spark):
-    names = [" OWNER.CMASTER_ORDER__ITEMS_ ", "rhmeta_x", "a.CIVIL_7_RHP_Staff", "T"]
-    df = spark.createDataFrame([(n,) for n in names], "n string").select(fuzzy.normal_name(F.col("n")))
-    assert [r[0] for r in df.collect()] == ["order_items", "x", "staff", "t"]
+    names = [" OWNER.CORE_ORDER__ITEMS_ ", "core_x", "a.Site_7_Staff", "T"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select(fuzzy.normal_name(F.col("n")), fuzzy.normal_name(F.col("n"), r"core_|site_\d+_"))
+    assert [tuple(r) for r in df.collect()] == [("core_order_items", "order_items"), ("core_x", "x"), ("site_7_staff", "staff"), ("t", "t")]
+
+
+def test_null_keys_and_null_order_values_lose_no_row(spark):
+    rows = [(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, at int")
+    assert sorted(r.rownum for r in keyed.number_rows(df, [F.col("at")], [F.col("at")]).collect()) == [1, 2, 3]
+    got = {r.k: r.median for r in keyed.medians(df, ["k"], "v", 10.0).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    times = df.filter("at is not null").withColumn("ts", F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.col("at"), F.lit(0), F.lit(0)))
+    assert sorted((r.v, r.prev_v) for r in keyed.carry_previous(times, ["k"], ["ts"], ["v"]).collect()) == [(1.0, None), (3.0, 1.0)]
 
 
 def test_mapping_equals_all_pairs(spark):

@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from check import compare, connect
 from conftest import SF_DIR
+from lakewarden import suite
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+suite.load_all()
+QUERIES, ORACLES = suite.QUERIES, suite.ORACLES
 
 
 @pytest.fixture(scope="module")

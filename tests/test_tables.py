@@ -79,7 +79,7 @@ def test_rows_outside_the_window_fail(spark):
 
 
 def test_write_sizing_and_compaction():
-    assert [writes.write_partitions(n) for n in (None, 999_999, 1_000_000, 10_000_000, 50_000_000)] == [800, 200, 400, 800, 1600]
+    assert [writes.write_partitions(n) for n in (None, 0, 1_000_000, 1_000_001, 10**12)] == [None, 1, 1, 2, 10**6]
     assert writes.write_partitions(5, 64) == 64
     assert writes.compaction_due(0, 100, None) and writes.compaction_due(100, None, "x") and not writes.compaction_due(99, 100, "x")
 
@@ -210,13 +210,11 @@ def test_strategy_table():
     key = lambda c: discovery.KeyFinding(("ID",), "X", c)
     pick = lambda *a: discovery.decide_strategy(*a).name
     none = discovery.KeyFinding()
-    assert pick("U", True, none, 5) == "WATERMARK"
-    assert pick(None, False, key(0.95), 20_000_000) == "HASH_MERGE"
-    assert pick(None, False, key(0.95), 200_000_000) == "REQUIRES_CDC"
-    assert pick(None, False, key(0.7), 20_000_000) == "SNAPSHOT"
-    assert pick(None, False, none, 10) == "SNAPSHOT"
-    assert pick(None, False, key(0.95), 5_000_000) == "APPEND_LOG"
-    assert pick(None, False, none, 5_000_000) == "APPEND_LOG"
+    for rows in (5, 5_000_000, 20_000_000, 200_000_000, None):  # size never changes how a table is loaded
+        assert pick("U", True, none, rows) == "WATERMARK"
+        assert pick(None, False, key(0.95), rows) == "HASH_MERGE"
+        assert pick(None, False, key(0.7), rows) == "SNAPSHOT"
+        assert pick(None, False, none, rows) == "SNAPSHOT"
 
 
 def test_watermark_names(spark):
@@ -229,7 +227,7 @@ def test_watermark_names(spark):
 
 def test_discover_orders(tables):
     s = discovery.discover(tables.orders)
-    assert s.metadata["pk"] == ["o_orderkey"] and s.name == "SNAPSHOT"
+    assert s.metadata["pk"] == ["o_orderkey"] and s.name == "HASH_MERGE"
     s = discovery.discover(tables.orders.withColumnRenamed("o_orderdate", "UPDATED_AT"))
     assert s.name == "WATERMARK" and s.metadata["hash_exclude_cols"] == ["UPDATED_AT"]
 
@@ -268,6 +266,11 @@ def test_metadata_spellings():
 def test_cutoff():
     assert incremental.cutoff_text("2024-03-04 10:00:00.123", 3) == "2024-03-01 10:00:00"
     assert incremental.cutoff_text("12345", 3) == "12345"
+    assert incremental.cutoff_text("2024-01-05T00:00:00", 3) == "2024-01-02 00:00:00"
+    assert incremental.cutoff_text("2024-01-05T01:00:00+02:00", 3) == "2024-01-01 23:00:00"
+    assert incremental.cutoff_text("2024-01-05", 3) == "2024-01-02 00:00:00"
+    with pytest.raises(ValueError):
+        incremental.cutoff_text("yesterday", 3)
 
 
 def test_load_is_skipped_when_nothing_is_new(tables):
@@ -379,3 +382,36 @@ def test_existing_table_must_exist(spark):
         sources.read_existing(spark, "no_such_table")
     assert sources.existence_report(spark, ["no_such_table"]) == {"no_such_table": False}
     assert sources.estimate_rows(spark.range(7)).collect()[0].row_estimate == 7
+
+
+def test_append_keeps_new_columns_and_fills_missing_ones(spark, tmp_path):
+    table = "append_evolves"
+    for data, schema in (([(1, "a")], "id long, v string"), ([(2, "b", 7)], "id long, v string, n int"), ([("c", 3)], "V string, id long")):
+        commit.commit_append(spark.createDataFrame(data, schema), table, str(tmp_path))
+    assert rows(spark.table(table).select("id", "v", "n")) == [(1, "a", None), (2, "b", 7), (3, "c", None)]
+    spark.sql(f"drop table {table}")
+
+
+def test_compaction_rewrites_partitions(spark, tmp_path):
+    table = "compacted_parts"
+    df = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("p")).repartition(8)
+    commit.commit_partitions(df, table, str(tmp_path), "p")
+    before = set(spark.table(table).inputFiles())
+    assert commit.compact(table, ["id"], str(tmp_path), spark, partitions=1)
+    after = set(spark.table(table).inputFiles())
+    assert not before & after and len(after) == 2 and spark.table(table).count() == 200
+    spark.sql(f"drop table {table}")
+
+
+def test_row_hash_tells_parts_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("∅", "x")], "a string, b string")
+    assert df.select(bronze.row_hash(df)).distinct().count() == 4
+
+
+def test_null_keys_fail_a_first_silver_load(spark):
+    spec = Contract("d", 1, (ColumnSpec("id", "long"), ColumnSpec("v", "string")), ("id",), "v")
+    nulls = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "id long, v string")
+    with pytest.raises(Exception, match="(?i)key"):
+        writes.silver_state(None, nulls, spec)[1].collect()
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
+    assert writes.silver_state(None, twice, spec)[1].count() == 1
