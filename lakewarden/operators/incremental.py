@@ -219,6 +219,7 @@ class BronzeLoad:
     short_circuited: bool = False
     late_arrivals: bool = False
     metrics: dict = field(default_factory=dict)
+    rows: DataFrame | None = None  # what the run brings in, with technical columns; ``state`` is the table afterwards
 
 
 def load_bronze(
@@ -236,11 +237,11 @@ def load_bronze(
     plan = choose_write(cfg)
     if not cfg.enable_incremental:
         rows = add_full_refresh_columns(source, run_id, cfg.source_name, as_of)
-        return BronzeLoad(plan.operation, plan.strategy, rows, source, watermark)
+        return BronzeLoad(plan.operation, plan.strategy, rows, source, watermark, rows=rows)
     if plan.operation in ("OVERWRITE", "APPEND"):
         rows = add_technical_columns(source, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
         keep = plan.operation == "APPEND" and target is not None
-        return BronzeLoad(plan.operation, plan.strategy, writes.append_log(target, rows) if keep else rows, source, watermark)
+        return BronzeLoad(plan.operation, plan.strategy, writes.append_log(target, rows) if keep else rows, source, watermark, rows=rows)
     increment = source if plan.operation == "HASH_MERGE" else read_increment(source, cfg, watermark, as_of)
     newer = True
     if plan.operation == "MERGE" and watermark and cfg.watermark:
@@ -258,7 +259,7 @@ def load_bronze(
     load.late_arrivals = not newer
     load.watermark_end = got.get("mark") or watermark
     rows = add_technical_columns(increment, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
-    keys = list(cfg.primary_key)
+    load.rows, keys = rows, list(cfg.primary_key)
     if plan.operation == "REPLACE_WHERE":
         low = shift(ntz(as_of), "DAY", -cfg.lookback_days)
         load.state = rows if target is None else writes.replace_window(target, rows, cfg.watermark, low)

@@ -87,20 +87,18 @@ def _before(w):
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def salted_lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left", salt: int = 8) -> DataFrame:
+def lookup(df: DataFrame, side: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many rows with one row per key of ``side``.
 
-    The few rows of ``side`` are repeated per salt, so that the rows of a hot key spread over ``salt`` tasks.
-    A side small enough is still broadcast by the planner.
+    A plain equi-join: a small side is broadcast by the planner, and adaptive execution divides a hot key's rows by their
+    measured size, however large the table is.
     """
-    copies = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in tie_columns(df, [])]), F.lit(salt)).cast("int")
-    return df.withColumn("_s", mark).join(copies, [*keys, "_s"], how).drop("_s")
+    return df.join(side, keys, how)
 
 
-def attach_group_values(df: DataFrame, keys: list[str], aggs: list[Column], salt: int = 16) -> DataFrame:
+def attach_group_values(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Each row with aggregates of its group, as a window without ordering would give; NULL keys get none."""
-    return salted_lookup(df, df.groupBy(*keys).agg(*aggs), keys, "left", salt)
+    return lookup(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def values_at_ranks(

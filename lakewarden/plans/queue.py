@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.health import idempotency_key
-from ..operators.keyed import nearest_rank_percentiles, salted_lookup
+from ..operators.keyed import lookup, nearest_rank_percentiles
 from ..session import millis_between, ntz, seconds_between, shift, trunc_ntz
 
 TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED")
@@ -90,7 +90,7 @@ def timeline(transitions: DataFrame, since=None, unit: str = "minute") -> DataFr
 
 def with_dataset(queue: DataFrame, datasets: DataFrame) -> DataFrame:
     names = datasets.select("dataset_id", "dataset_name", "source_type", "execution_state", "bronze_table", "silver_table")
-    return salted_lookup(queue, names, ["dataset_id"])
+    return lookup(queue, names, ["dataset_id"])
 
 
 def open_with_dataset(queue: DataFrame, datasets: DataFrame, source_type: str | None = None, preview: int = 200) -> DataFrame:
@@ -98,7 +98,7 @@ def open_with_dataset(queue: DataFrame, datasets: DataFrame, source_type: str |
     ds = datasets if source_type is None else datasets.filter(F.col("source_type") == source_type)
     open_items = queue.filter(F.col("status").isin("PENDING", "FAILED", "CLAIMED", "RUNNING"))
     short = open_items.withColumn("error_preview", F.substring("last_error_message", 1, preview))
-    return salted_lookup(short, ds.select("dataset_id", "dataset_name"), ["dataset_id"], "inner")
+    return lookup(short, ds.select("dataset_id", "dataset_name"), ["dataset_id"], "inner")
 
 
 def next_to_run(queue: DataFrame, as_of, n: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import health
-from ..operators.keyed import carry_previous, nearest_rank_percentiles, salted_lookup, top_per_key
+from ..operators.keyed import carry_previous, lookup, nearest_rank_percentiles, top_per_key
 from ..session import millis_between, ntz, seconds_between, shift
 
 PERIODS = {"24h": ("HOUR", 24), "7d": ("DAY", 7), "30d": ("DAY", 30)}
@@ -74,14 +74,14 @@ def with_context(runs: DataFrame, datasets: DataFrame, layers: DataFrame) -> Dat
     )
     names = datasets.select("dataset_id", "dataset_name", "incremental_strategy", "enable_incremental")
     timed = runs.withColumn("duration_seconds", duration_seconds()).join(bronze, "run_id", "left")
-    return salted_lookup(timed, names, ["dataset_id"])
+    return lookup(timed, names, ["dataset_id"])
 
 
 def failed_with_dataset(runs: DataFrame, datasets: DataFrame, source_type: str | None = None, preview: int = 500) -> DataFrame:
     """Failed runs of registered datasets with a short error text."""
     ds = datasets if source_type is None else datasets.filter(F.col("source_type") == source_type)
     failed = runs.filter(F.col("status") == "FAILED")
-    return salted_lookup(failed, ds.select("dataset_id", "dataset_name"), ["dataset_id"], "inner").select(
+    return lookup(failed, ds.select("dataset_id", "dataset_name"), ["dataset_id"], "inner").select(
         "run_id", "dataset_id", "dataset_name", "status", "error_class",
         F.substring("error_message", 1, preview).alias("error_preview"), "started_at", "finished_at",
     )
@@ -249,7 +249,7 @@ def near_misses(runs: DataFrame, key: str, buffer_percent: float = 10) -> DataFr
     """Runs far above their baseline."""
     timed = runs.withColumn("duration_ms", duration_ms())
     base = duration_baseline(runs, key).select(key, "p95_ms", "sample_size")
-    return salted_lookup(timed, base, [key]).withColumn(
+    return lookup(timed, base, [key]).withColumn(
         "near_miss", health.near_miss(F.col("duration_ms"), F.col("p95_ms"), F.col("sample_size"), buffer_percent)
     )
 
@@ -270,7 +270,7 @@ def guardrail_report(runs: DataFrame, config: DataFrame, key: str, mode: str = "
     key and watermark_required, volume_min, volume_max, dq_required, silent_failure_check.
     """
     names = ("watermark_required", "volume_min", "volume_max", "dq_required", "silent_failure_check")
-    joined = salted_lookup(runs, config.select(key, *names), [key], "inner")
+    joined = lookup(runs, config.select(key, *names), [key], "inner")
     checks = health.guardrail_checks(
         *[F.col(c) for c in ("status", "records_written", "dq_fail_count", "watermark_before", "watermark_after", *names)]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import bronze, commit, contract, discovery, incremental, keyed, reconcile, writes
+from ..operators import bronze, commit, contract, discovery, incremental, keyed, load, reconcile, writes
 from ..operators.contract import ColumnSpec, Contract, QualityRule
 from ..session import ntz, shift
 from ..sources import batch, tables as sources
@@ -540,7 +540,10 @@ def watermark_suggestion(t: Tables):
     return out
 
 
-PROFILED = ("l_shipdate", "l_linenumber", "l_returnflag")
+PROFILED = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+)
 
 
 @query(
@@ -556,16 +559,35 @@ def column_profile(t: Tables):
     return discovery.column_profile(t.lineitem, list(PROFILED), exact=True)
 
 
-@query("column_profile_sketch")
+WITHIN = "select column_name, true as rows_within, true as distinct_within, true as nulls_within from (values {0}) v(column_name)"
+
+
+def _within(t: Tables, estimate: DataFrame, rows_off: float, distinct_off: float) -> DataFrame:
+    """Whether each estimate of a profile lies within its bound of the exact value."""
+    exact = discovery.column_profile(t.lineitem, t.lineitem.columns, exact=True)
+    near = lambda c, off: F.abs(F.col(f"e.{c}") - F.col(f"x.{c}")) <= F.greatest(F.lit(2.0), F.col(f"x.{c}") * off)
+    return estimate.alias("e").join(exact.alias("x"), "column_name").select(
+        "column_name", near("total_rows", rows_off).alias("rows_within"), near("distinct_values", distinct_off).alias("distinct_within"),
+        near("null_values", rows_off).alias("nulls_within"),
+    )
+
+
+LINE_COLUMNS = ", ".join(f"('{c}')" for c in PROFILED)
+
+
+@query("column_profile_sketch", WITHIN.format(LINE_COLUMNS))
 def column_profile_sketch(t: Tables):
-    """The same pass with sketches, the form for large tables; checked by bounds in the tests."""
-    return discovery.column_profile(t.lineitem, list(PROFILED))
+    """The same pass with sketches, the form for large tables: every estimate within the sketch's stated error."""
+    return _within(t, discovery.column_profile(t.lineitem, t.lineitem.columns), 0.0, discovery.SKETCH_ERROR)
 
 
-@query("column_profile_sampled")
+@query("column_profile_sampled", "select true as rows_within")
 def column_profile_sampled(t: Tables):
-    """A 1% sample scaled by 100; checked by bounds in the tests."""
-    return discovery.sampled_profile(t.lineitem, list(PROFILED))
+    """A 1% sample scaled by 100: the row count lies within six standard errors of the sample."""
+    rows = t.lineitem.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("guess"))
+    guess = discovery.sampled_profile(t.lineitem, t.lineitem.columns).agg(F.lit(0).cast("bigint").alias("n"), F.max("total_rows").alias("guess"))
+    both = rows.unionByName(guess).agg(F.max("n").alias("n"), F.max("guess").alias("guess"))
+    return both.select((F.abs(F.col("guess") - F.col("n")) <= 6 * F.sqrt(F.col("n") * 99.0)).alias("rows_within"))
 
 
 @query(
@@ -771,6 +793,34 @@ def bronze_load_no_key(t: Tables):
     return load.state.select(*ORDERS.names, "_batch_id")
 
 
+@query(
+    "full_load",
+    f"""select 'bronze' as layer, count(*) as n, cast(sum(o_totalprice) as decimal(38,2)) as total, count(distinct case when o_orderdate >= TS'{DAY3}' then o_orderkey end) as fresh
+          from (select {ORDER_COLS} from @orders) o
+        union all select 'silver', count(*), cast(sum(o_totalprice) as decimal(38,2)), 0 from (select {ORDER_COLS} from @orders) o
+        union all select 'runs', 2, null, 1 union all select 'layers', 4, null, 0 union all select 'watermarks', 1, null, 0""",
+)
+def full_load(t: Tables):
+    """Two runs from source to silver, with staging, watermark and logs; every table is read back. The second run
+    writes the partitions that its increment touches."""
+    import uuid
+
+    name, years = f"lakewarden_load_{uuid.uuid4().hex}", F.year("o_orderdate").cast("int")
+    place = load.Place(f"{name}_bronze", f"{t.scratch}/tables", f"{name}_", f"{name}_silver", "y")
+    for run, rows in (("r1", t.orders_target), ("r2", t.orders)):
+        load.run_load(typed_orders(rows).withColumn("y", years), place, CURRENT, run, AS_OF, ORDERS)
+    read = lambda part: t.spark.table(f"{name}_{part}")
+    price, none = F.sum("o_totalprice").cast("decimal(38,2)").alias("total"), F.lit(None).cast("decimal(38,2)").alias("total")
+    fresh = F.count_distinct(F.when((F.col("_batch_id") == "r2") & (F.col("o_orderdate") >= F.lit(DAY3).cast("timestamp_ntz")), F.col("o_orderkey")))
+    n, zero = F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("fresh")
+    out = read("bronze").agg(n, price, fresh.alias("fresh")).select(F.lit("bronze").alias("layer"), "*")
+    out = out.unionByName(read("silver").agg(n, price).select(F.lit("silver").alias("layer"), "*", zero))
+    out = out.unionByName(read("runs").agg(n, F.count_if(F.col("watermark_start").isNotNull()).alias("fresh")).select(F.lit("runs").alias("layer"), "*", none))
+    for part in ("layers", "watermarks"):
+        out = out.unionByName(read(part).agg(n).select(F.lit(part).alias("layer"), "*", none, zero))
+    return out
+
+
 @query("backfill_rerun", f"select {ORDER_COLS} from @orders")
 def backfill_rerun(t: Tables):
     """A load repeated with an older watermark: the upsert makes the second run change nothing."""
