@@ -151,13 +151,19 @@ def within_band(
 ) -> DataFrame:
     """Rows of ``left`` matched with the ``right`` rows of the same keys whose time ``at`` lies in [low, high].
 
-    ``low`` and ``high`` are expressions over ``left``. Time is cut into slots of ``width_seconds``; a
-    left row is repeated for the slots it covers and the join is an equi-join on keys and slot, so a
-    hot key is divided by time and never paired with itself as a whole.
+    ``low`` and ``high`` are expressions over ``left``. Time is cut into slots and the join is an equi-join on keys, slot
+    width and slot, so a hot key is divided by time and never paired with itself as a whole. The width is
+    ``width_seconds``, doubled until a span covers three slots at most; a point is repeated once per width that occurs,
+    of which there are as many as the logarithm of the longest span. One wrong date therefore costs a row or two, not
+    a row per slot up to that date. Only the widths, a few dozen numbers at most, come to the driver.
     """
-    slot = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(width_seconds))
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    slot = lambda c, level: F.floor(seconds(c) / (F.lit(width_seconds) * F.pow(F.lit(2), level)))
     spans = left.withColumns({"_lo": low, "_hi": high}).filter("_lo <= _hi")
-    spans = spans.withColumn("_slot", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
-    points = right.withColumn("_slot", slot(F.col(at)))
-    hit = spans.join(points, [*keys, "_slot"], "inner").filter(F.col(at).between(F.col("_lo"), F.col("_hi")))
-    return hit.drop("_lo", "_hi", "_slot")
+    length = (seconds(F.col("_hi")) - seconds(F.col("_lo"))) / F.lit(width_seconds)
+    spans = spans.withColumn("_level", F.ceil(F.log2(F.greatest(length, F.lit(1.0)))).cast("int"))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())
+    spans = spans.withColumn("_slot", F.explode(F.sequence(slot(F.col("_lo"), F.col("_level")), slot(F.col("_hi"), F.col("_level")))))
+    points = right.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_slot", slot(F.col(at), F.col("_level")))
+    hit = spans.join(points, [*keys, "_level", "_slot"], "inner").filter(F.col(at).between(F.col("_lo"), F.col("_hi")))
+    return hit.drop("_lo", "_hi", "_slot", "_level")

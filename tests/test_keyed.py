@@ -183,3 +183,11 @@ def test_stream_upsert_keeps_the_newest_of_late_files(spark, tmp_path, partition
     assert rows(spark.table(table).select("id", "t")) == [(1, "2024-01-02"), (2, "2025-01-01"), (3, "2023-01-01"), (4, "2024-05-05")]
     run()
     assert spark.table(table).count() == 4
+
+
+def test_a_span_to_the_year_9999_makes_a_few_rows(spark):
+    left = spark.sql("select 1 as lid, 'a' as k, timestamp_ntz'2024-01-01 00:00:00' as lo, timestamp_ntz'9999-01-01 00:00:00' as hi")
+    left = left.union(spark.sql("select 2, 'a', timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:05:00'"))
+    events = spark.sql("select id, 'a' as k, timestamp_ntz'2023-12-31 23:59:00' + make_dt_interval(0, 0, id) as t from range(10)")
+    got = keyed.within_band(left, events, ["k"], "t", F.col("lo"), F.col("hi"), 60).select("lid", "id").collect()
+    assert sorted((r.lid, r.id) for r in got) == [(1, i) for i in range(1, 10)] + [(2, i) for i in range(1, 7)]
