@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import packed, staged, whole_text
 
 WINDOW, LITERALS = 5, 3
 ENOUGH, SHARE, SLACK = 13, 0.8, 0.2
@@ -51,6 +51,7 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[$€£]?[+-]?[0-9][0-9.,:/]*%?")
 _QUANTITY = re.compile(r"[+-]?[0-9][0-9.,]*-?([^\W\d_]+|[$€£])")
+_OUTER = ".,;:!?()[]{}\"'“”‘’«»*_#|&~^<>="
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -58,60 +59,59 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
 
 
-class Lexicon:
-    """What is known of each distinct chunk between white space, as arrays indexed by a number per chunk."""
+class Lexicon(dict):
+    """Numbers of the distinct chunks between white space, and what is known of each in arrays under its number."""
 
     def __init__(self):
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.clear()
         self.cores: list[str] = []
-        self.facts: list[tuple[int, int, int, bool, bool]] = []
-        self.table: tuple[np.ndarray, ...] = ()
+        self.hashes, self.kinds = np.zeros(KNOWN, np.uint64), np.zeros(KNOWN, np.int8)
+        self.units, self.capitals, self.stops = (np.zeros(KNOWN, bool) for _ in range(3))
 
-    def _look(self, chunk: str) -> None:
-        bare = chunk.strip(".,;:!?()[]{}\"'“”‘’«»*_#|&~^<>=")
-        core = _EDGE.sub("", chunk).lower()
-        kind = WORD
+    def __missing__(self, chunk: str) -> int:
+        bare = chunk.strip(_OUTER)
+        core, kind = bare.lower(), WORD
         if bare in ("%", "$", "€", "£"):
-            core, kind = bare, WORD
-        elif not core:
-            kind = NOTHING
-        elif core in NUMBER_WORDS or _NUMBER.fullmatch(bare):
-            kind = NUMBER
-        elif (m := _QUANTITY.fullmatch(core)) and m[1] in UNITS:
-            kind = QUANTITY
-        letters = chunk.lstrip("\"'“‘«([")
-        capital = letters[:1].isupper() and len(core) > 1 and not letters[1:].isupper() and core.isalpha()
-        self.number[chunk] = len(self.cores)
+            core = bare
+        elif bare.isalpha():
+            kind = NUMBER if core in NUMBER_WORDS else WORD
+        else:
+            core = _EDGE.sub("", chunk).lower()
+            if not core:
+                kind = NOTHING
+            elif core in NUMBER_WORDS or _NUMBER.fullmatch(bare):
+                kind = NUMBER
+            elif (m := _QUANTITY.fullmatch(core)) and m[1] in UNITS:
+                kind = QUANTITY
+        n = self[chunk] = len(self.cores)
         self.cores.append(core)
-        self.facts.append((_hash(core), kind, core in UNITS, capital, chunk.rstrip("\"'”’»)]")[-1:] in tuple(".!?:")))
+        if n == len(self.hashes):  # one text with more distinct words than are remembered
+            for name in ("hashes", "kinds", "units", "capitals", "stops"):
+                setattr(self, name, np.concatenate([getattr(self, name)] * 2))
+        self.hashes[n], self.kinds[n], self.units[n] = _hash(core), kind, core in UNITS
+        letters = chunk.lstrip("\"'“‘«([")
+        self.capitals[n] = letters[:1].isupper() and len(core) > 1 and not letters[1:].isupper() and core.isalpha()
+        self.stops[n] = chunk.rstrip("\"'”’»)]").endswith((".", "!", "?", ":"))
+        return n
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunk number, type and hash of each token of a text, without chunks of punctuation."""
+        if len(self) > KNOWN * 0.9:
+            self.forget()
         chunks = text.split()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
-        if new:
-            if len(self.number) + len(new) > KNOWN:
-                self.forget()
-                new = list(dict.fromkeys(chunks))
-            for chunk in new:
-                self._look(chunk)
-            grown = list(zip(*self.facts[-len(new) :]))
-            fresh = [np.array(v, dtype=t) for v, t in zip(grown, (np.uint64, np.int8, bool, bool, bool))]
-            self.table = tuple(np.concatenate([a, b]) for a, b in zip(self.table, fresh)) if self.table else tuple(fresh)
-        if not chunks:
-            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-        ids = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        ids = ids[self.table[1][ids] != NOTHING]
-        hashes, kinds, units, capitals, stops = (a[ids] for a in self.table)
+        ids = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        ids = ids[self.kinds[ids] != NOTHING]
+        kinds = self.kinds[ids]
         start = np.ones(len(ids), dtype=bool)
-        start[1:] = stops[:-1]
-        kinds = np.where((kinds == WORD) & capitals & ~start, NAME, kinds).astype(np.int8)
+        start[1:] = self.stops[ids[:-1]]
+        kinds[(kinds == WORD) & self.capitals[ids] & ~start] = NAME
         after = np.zeros(len(ids), dtype=bool)
         after[1:] = kinds[:-1] == NUMBER
-        return ids, np.where(units & after, UNIT, kinds).astype(np.int8), hashes
+        kinds[self.units[ids] & after] = UNIT
+        return ids, kinds, self.hashes[ids]
 
 
 _MARKS = np.array([_hash(p) for p in PLACEHOLDERS], dtype=np.uint64)
@@ -243,6 +243,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item, unchanged."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
-    rows = docs.withColumn("_leak_text", F.xxhash64(whole_text()))
-    on = rows["doc_id"].eqNullSafe(bad["_leak_id"]) & (rows["_leak_text"] == bad["_leak_key"])
-    return rows.join(bad, on, "left_anti").select(docs.columns)
+    rows = packed(docs, F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("text_key"))
+    on = rows["id"].eqNullSafe(bad["_leak_id"]) & (rows["text_key"] == bad["_leak_key"])
+    return rows.join(bad, on, "left_anti").select("row.*")
