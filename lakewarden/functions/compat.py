@@ -201,7 +201,7 @@ def median(value) -> Column:
     return F.median(_c(value))
 
 
-# Names with the same meaning in Spark.
+# The function names below, here and in OWN, are those that users' queries call. These mean the same in Spark.
 SAME = {
     "COALESCE": F.coalesce, "NULLIF": F.nullif, "LENGTH": F.length, "LOWER": F.lower, "UPPER": F.upper, "TRIM": F.trim,
     "LTRIM": F.ltrim, "RTRIM": F.rtrim, "LPAD": F.lpad, "RPAD": F.rpad, "REPLACE": F.replace, "TRANSLATE": F.translate,

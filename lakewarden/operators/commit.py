@@ -92,8 +92,16 @@ def _literal(value, kind) -> str:
     return str(value) if kind.typeName() in ("integer", "long", "short", "byte") else f"'{value}'"
 
 
-def publish_view(spark: SparkSession, name: str, query: DataFrame) -> None:
-    """Publish a query under a name. A trial view is made first, so that a broken query leaves the old view."""
+def publish_view(spark: SparkSession, name: str, query: DataFrame | str) -> None:
+    """Publish a query under a name. It is tried first, so that a broken query leaves the old view.
+
+    SQL text becomes a view in the catalog, which outlives the session where the catalog does; a DataFrame has no text to
+    keep and becomes a view of the session.
+    """
+    if isinstance(query, str):
+        spark.sql(query).schema  # analysis errors surface here
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
+        return
     trial = f"_trial_{uuid.uuid4().hex}"
     query.createOrReplaceTempView(trial)
     try:

@@ -134,9 +134,13 @@ def candidate_pairs(names: DataFrame, catalog: DataFrame) -> DataFrame:
     right = _signatures(offered, seen, "cat_size", "size").withColumn("head", F.substring(F.col("norm"), F.lit(1), head_size))
     right = right.select(F.col("norm").alias("cat_norm"), *keys)
     a, b = F.length("norm"), F.length("cat_norm")
-    need_head = F.ceil((1.0 - (1.0 - F.col("cut")) / W_PREFIX) * F.greatest(a, b) - _EPS).cast("int")
+    # The three losses share one budget: what sizes and lengths cost at least is no longer there for the prefix.
+    indel_most = 2.0 * F.least(a, b) / (a + b)
+    jaccard_most = F.least("size", "cat_size") / F.greatest("size", "cat_size")
+    share_needed = (F.col("cut") - W_INDEL * indel_most - W_JACCARD * jaccard_most) / W_PREFIX
+    need_head = F.ceil(share_needed * F.greatest(a, b) - _EPS).cast("int")
     same_head = F.substring(F.col("norm"), F.lit(1), need_head) == F.substring(F.col("cat_norm"), F.lit(1), need_head)
-    similar_size = W_INDEL * 2.0 * F.least(a, b) / (a + b) + W_JACCARD + W_PREFIX >= F.col("cut") - _EPS
+    similar_size = share_needed <= 1.0 + _EPS
     met = left.select("norm", *keys).join(right, keys, "inner").filter(similar_size & same_head).select("norm", "cat_norm", "cut")
     # Scoring is heavy for few bytes, so the number of partitions follows the cores and not the data size; the
     # distinct keeps this partitioning.

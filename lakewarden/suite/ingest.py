@@ -428,7 +428,9 @@ def write_sizing(t: Tables):
 
 @query("published_view", "select o_orderstatus, count(*) as n from @orders group by o_orderstatus")
 def published_view(t: Tables):
-    commit.publish_view(t.spark, "lakewarden_order_status", t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+    t.spark.catalog.dropTempView("lakewarden_order_status")
+    sql = f"select o_orderstatus, count(*) as n from parquet.`{t.dir}/orders.parquet` group by o_orderstatus"
+    commit.publish_view(t.spark, "lakewarden_order_status", sql)
     return t.spark.table("lakewarden_order_status")
 
 
