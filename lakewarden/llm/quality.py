@@ -28,6 +28,7 @@ from .common import held_out, training_sample, whole_text
 SAMPLE = 2000  # labelled rows that the network is fitted on
 FILTERS, WIDTH, STEP, CHUNK = 8, 5, 256, 512  # CHUNK is two STEPs, so that neighbours overlap by half
 EPOCHS, RATE, SEED = 4, 0.03, 11
+LONG, PARTS, PART = 65_536, 16, 4_096  # in training only, a text of over LONG characters is PARTS evenly spaced pieces of PART
 SLICE = 1 << 18  # bytes whose responses are held at once; a multiple of STEP
 
 
@@ -124,8 +125,15 @@ def train(texts: list[str], labels: list[float]) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Network:
-    """A network fitted to about ``sample`` labelled rows at most, which the driver holds, in the order of their ids."""
-    rows = training_sample(docs, labels, label, sample).toPandas().sort_values(["doc_id", "text"])
+    """A network fitted to about ``sample`` labelled rows at most, which the driver holds, in the order of their ids.
+
+    What the driver holds is bounded in bytes as well: of very long texts in the sample, evenly spaced pieces are taken.
+    Scoring reads every text whole.
+    """
+    size = F.length("text")
+    spaced = F.concat(*[F.substring("text", F.floor(size * i / PARTS).cast("int") + 1, F.lit(PART)) for i in range(PARTS)])
+    rows = training_sample(docs, labels, label, sample)
+    rows = rows.withColumn("text", F.when(size > LONG, spaced).otherwise(F.col("text"))).toPandas().sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["label"].astype(float).tolist())
 
 
