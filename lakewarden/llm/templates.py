@@ -2,15 +2,17 @@
 
 Words (runs without white space, stripped of outer punctuation, lower-cased) become template tokens: numbers, quantities
 (a number with a unit in one word), units after a number, and names (capitalised words inside a sentence) are replaced by
-typed placeholders. Windows of ``WINDOW`` = 5 tokens are hashed, with placeholders if at least ``LITERALS`` tokens are
-plain words, else with the words themselves, so that runs of placeholders do not match everything.
+typed placeholders. Every window of ``WINDOW`` = 5 tokens is hashed by its words, whatever their case or type. Windows with slots are hashed
+by their placeholders as well, each grown, forward from every start and backward from every end, until ``LITERALS`` of
+its tokens are plain words, so that runs of placeholders do not match everything.
 
 The windows of documents are equi-joined on their hash with those of the benchmark. Before the join, tasks drop windows
 that a Bloom filter of the benchmark's windows rules out; its size is fixed by ``BLOOM_BITS`` and it never drops a match, so
 what is shuffled follows the matches and not the corpus. A match lies on a diagonal (position in the document minus
 position in the item). On one diagonal a slot value of the item must always meet the same value in the document and
-the other way round; where more than ``SLACK`` of the slots break this, the diagonal is not a re-parameterised question.
-A document leaks an item if its consistent diagonals cover ``ENOUGH`` tokens of it or ``SHARE`` of a shorter one.
+the other way round; where more than ``SLACK`` of the slots break this, the diagonal is not a re-parameterised question
+and only its windows of equal words count. A document leaks an item if these cover ``ENOUGH`` tokens of it or ``SHARE`` of
+a shorter one, and ``LITERALS`` of every two windows' tokens (all plain words of an item that has fewer) are the same in both.
 
 Defined results: null and empty texts have no tokens and no matches, on either side. Items of fewer than five tokens are
 one window of their own length, compared word by word. Rows that repeat an id and a text are reported once; rows that share
@@ -34,6 +36,7 @@ from .common import packed, staged, whole_text
 WINDOW, LITERALS = 5, 3
 ENOUGH, SHARE, SLACK = 13, 0.8, 0.2
 BLOOM_BITS = 1 << 24
+BATCH = 1 << 18  # tokens of windows that are handed over at once
 KNOWN = 400_000  # words that a Python worker remembers before it starts afresh
 WORD, NUMBER, QUANTITY, UNIT, NAME, NOTHING = range(6)
 PLACEHOLDERS = ("", "<number>", "<quantity>", "<unit>", "<name>", "")
@@ -116,25 +119,58 @@ class Lexicon(dict):
 
 _MARKS = np.array([_hash(p) for p in PLACEHOLDERS], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def windows(kinds: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every window of ``size`` tokens; shorter sizes than WINDOW use the words only."""
-    n = len(kinds) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    marked = np.where(kinds == WORD, hashes, _MARKS[kinds])
-    template = raw = np.full(n, size, dtype=np.uint64)
-    plain = np.zeros(n, dtype=np.int8)
-    with np.errstate(over="ignore"):
-        for j in range(size):
-            part = slice(j, j + n)
-            template = (template ^ marked[part]) * _STEP
-            template ^= template >> np.uint64(29)
-            raw = (raw ^ hashes[part]) * _STEP
-            raw ^= raw >> np.uint64(29)
-            plain += kinds[part] == WORD
-    return np.where(plain >= LITERALS, template, ~raw) if size >= WINDOW else ~raw
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TEMPLATE = np.uint64(1 << 63)  # tells the hashes of placeholders from those of words
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_kept = [_powers(_STEP, 1 << 15), _powers(_BACK, 1 << 15)]  # for all but long texts
+
+
+def _hashed(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the runs start to stop: a polynomial from running sums, which wrap, so that its cost knows no length."""
+    n = len(values)
+    up, down = _kept if n < 1 << 15 else (_powers(_STEP, n), _powers(_BACK, n))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * up[:n], out=sums[1:])
+    h = (sums[stop] - sums[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= _STEP
+    return h ^ (h >> np.uint64(29))
+
+
+def windows(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and hash of every window of ``size`` words."""
+    start = np.arange(max(0, len(hashes) - size + 1))
+    return start, start + size, _hashed(hashes, start, start + size) & ~_TEMPLATE
+
+
+def template_windows(kinds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and hash of the windows with slots, grown until LITERALS of their tokens are plain words."""
+    n, plain = len(kinds), kinds == WORD
+    literal = np.flatnonzero(plain)
+    if n < WINDOW or len(literal) < LITERALS or len(literal) == n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    before = np.concatenate([[0], np.cumsum(plain)])  # plain words before each place
+    first = np.flatnonzero(before[:n] + LITERALS <= len(literal))
+    until = np.maximum(first + WINDOW, literal[before[first] + LITERALS - 1] + 1)
+    fits = until <= n
+    start, stop = first[fits], until[fits]
+    ends = np.flatnonzero(before >= LITERALS)
+    since = np.minimum(ends - WINDOW, literal[before[ends] - LITERALS])
+    grown = np.full(n, -1)
+    grown[start] = stop
+    new = (since >= 0) & (ends - since > WINDOW)
+    new &= grown[np.maximum(since, 0)] != ends
+    start, stop = np.concatenate([start, since[new]]), np.concatenate([stop, ends[new]])
+    slots = before[stop] - before[start] < stop - start
+    start, stop = start[slots], stop[slots]
+    return start, stop, _hashed(np.where(plain, hashes, _MARKS[kinds]), start, stop) | _TEMPLATE
 
 
 _lexicon = Lexicon()
@@ -146,35 +182,40 @@ def lexicon() -> Lexicon:
 
 
 def _task(sizes: tuple[int, ...] | None, possible: Callable[[np.ndarray], np.ndarray] | None):
-    """Windows of (key columns..., text); of sizes ``sizes``, or of one size per text (its length, WINDOW at most)."""
+    """Windows of (key columns..., text); of ``sizes`` words, or of one size per text (its length, WINDOW at most).
+
+    With WINDOW words come the grown windows of placeholders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon()
         for batch in batches:
-            rows, hs, at, size, count, kinds_out, values = [], [], [], [], [], [], []
+            keys = batch.columns[:2]
+
+            def made(rows, *columns):
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                return pa.RecordBatch.from_arrays([*[c.take(pa.array(rows, pa.int64())) for c in keys], *arrays], names)  # noqa: B023
+
+            out, weight = [], 0
             for i, text in enumerate(batch.column(2)):
                 ids, kinds, hashes = known.tokens(text.as_py())
                 for s in sizes if sizes is not None else (min(len(ids), WINDOW),):
-                    h = windows(kinds, hashes, s) if s else np.zeros(0, dtype=np.uint64)
-                    hit = np.flatnonzero(possible(h)) if possible else np.arange(len(h))
-                    for p in hit.tolist():
-                        rows.append(i)
-                        hs.append(int(h[p].view(np.int64)))
-                        at.append(p)
-                        size.append(s)
-                        count.append(len(ids))
-                        kinds_out.append(kinds[p : p + s].tolist())
-                        values.append([known.cores[k] for k in ids[p : p + s]])
-            keys = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:2]]
-            yield pa.RecordBatch.from_arrays([
-                *keys, pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(count, pa.int32()),
-                pa.array(kinds_out, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.string())),
-            ], ["id", "text_key", "h", "pos", "size", "n_tokens", "kinds", "vals"])
-
+                    for start, stop, h in (windows(hashes, s), *([template_windows(kinds, hashes)] if s == WINDOW else [])) if s else ():
+                        hit = np.flatnonzero(possible(h)) if possible else np.arange(len(h))
+                        for a, b, x in zip(start[hit].tolist(), stop[hit].tolist(), h[hit].view(np.int64).tolist()):
+                            out.append((i, x, a, b - a, len(ids), int((kinds == WORD).sum()) if possible is None else 0, kinds[a:b].tolist(), [known.cores[k] for k in ids[a:b]]))
+                            weight += b - a
+                            if weight > BATCH:
+                                yield made(*zip(*out))
+                                out, weight = [], 0
+            yield made(*(zip(*out) if out else [()] * 8))
+
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
     return run
 
 
-_WINDOWS = "id bigint, text_key bigint, h bigint, pos int, size int, n_tokens int, kinds array<int>, vals array<string>"
+_WINDOWS = "id bigint, text_key bigint, h bigint, pos int, size int, n_tokens int, n_plain int, kinds array<int>, vals array<string>"
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -202,41 +243,48 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Matched windows: doc id and text key, item, its number of tokens, diagonal, position in the item, slots of both."""
     items = _keyed(benchmark, "item_id").dropDuplicates(["id", "text_key"]).mapInArrow(_task(None, None), _WINDOWS)
     items = staged(items, "template-items")
-    sizes = tuple(sorted(r[0] for r in items.select("size").distinct().collect()))
+    sizes = tuple(sorted(r[0] for r in items.select(F.least("size", F.lit(WINDOW))).distinct().collect()))
     found = _keyed(docs, "doc_id").mapInArrow(_task(sizes, _bloom(items.select("h"))), _WINDOWS)
     item = items.select("h", "size", F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), F.col("pos").alias("item_pos"),
-                        F.col("n_tokens").alias("item_tokens"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals"))
+                        F.col("n_tokens").alias("item_tokens"), F.col("n_plain").alias("item_plain"), F.col("kinds").alias("item_kinds"), F.col("vals").alias("item_vals"))
     same_words = F.forall(F.zip_with("kinds", "item_kinds", lambda a, b: a == b), lambda x: x)
     plain = F.transform(F.arrays_zip("kinds", "vals"), lambda x: F.when(x["kinds"] == WORD, x["vals"]))
     item_plain = F.transform(F.arrays_zip("item_kinds", "item_vals"), lambda x: F.when(x["item_kinds"] == WORD, x["item_vals"]))
     exact = (F.col("vals") == F.col("item_vals")) | (same_words & (plain == item_plain))  # hashes may collide
-    joined = found.drop("n_tokens").join(item, ["h", "size"]).filter(exact)
-    return joined.select("id", "text_key", "item_id", "item_key", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "kinds", "vals", "item_vals")
+    joined = found.drop("n_tokens", "n_plain").join(item, ["h", "size"]).filter(exact)
+    return joined.select("id", "text_key", "item_id", "item_key", "item_tokens", "item_plain", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos", "kinds", "vals", "item_vals")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document text and item it leaks: doc_id, text_key, item_id, item_tokens, covered, slots, changed_slots."""
-    place = ["id", "text_key", "item_id", "item_key", "item_tokens", "diagonal"]
+    pair = ["id", "text_key", "item_id", "item_key", "item_tokens", "item_plain"]
+    place = [*pair, "diagonal"]
     zipped = F.arrays_zip("kinds", "vals", "item_vals")
-    spots = staged(_matches(docs, benchmark), "template-matches").select(*place, "item_pos", F.posexplode(zipped).alias("i", "t")).select(
-        *place, (F.col("item_pos") + F.col("i")).alias("at"), F.col("t.kinds").alias("kind"), F.col("t.vals").alias("doc_val"), F.col("t.item_vals").alias("item_val"),
-    ).distinct()
+    spots = staged(_matches(docs, benchmark), "template-matches").select(
+        *place, "item_pos", (F.col("vals") == F.col("item_vals")).alias("equal"), F.posexplode(zipped).alias("i", "t")
+    )
+    spots = spots.groupBy(
+        *place, (F.col("item_pos") + F.col("i")).alias("at"), F.col("t.kinds").alias("kind"), F.col("t.vals").alias("doc_val"), F.col("t.item_vals").alias("item_val")
+    ).agg(F.max("equal").alias("equal"))
     slots = spots.filter(F.col("kind") != WORD)
     # A value that meets several others is at odds at all of its places.
     forth = slots.groupBy(*place, "kind", "item_val").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_val") != F.max("doc_val")).alias("odd"))
     back = slots.groupBy(*place, "kind", "doc_val").agg(F.count(F.lit(1)).alias("n"), (F.min("item_val") != F.max("item_val")).alias("odd"))
     odds = forth.select(*place, "n", "odd").union(back.select(*place, "n", "odd"))
     odds = odds.groupBy(*place).agg((F.sum("n") / 2).alias("slots"), (F.sum(F.when(F.col("odd"), F.col("n")).otherwise(0)) / 2).alias("odd"))
-    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in place]
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in place] + [~F.col("s.equal")]
     held = spots.alias("s").join(odds.filter(f"odd > {SLACK} * slots").alias("o"), on, "left_anti")
-    kept = held.groupBy("id", "text_key", "item_id", "item_key", "item_tokens", "at").agg(
+    same = F.col("doc_val") == F.col("item_val")
+    kept = held.groupBy(*pair, "at").agg(
         F.max(F.when(F.col("kind") != WORD, 1).otherwise(0)).alias("slot"),
-        F.max(F.when((F.col("kind") != WORD) & (F.col("doc_val") != F.col("item_val")), 1).otherwise(0)).alias("changed"),
+        F.max(F.when((F.col("kind") != WORD) & ~same, 1).otherwise(0)).alias("changed"),
+        F.max(same.cast("int")).alias("same"),
     )
-    whole = kept.groupBy("id", "text_key", "item_id", "item_key", "item_tokens").agg(
-        F.count(F.lit(1)).alias("covered"), F.sum("slot").alias("slots"), F.sum("changed").alias("changed_slots")
+    whole = kept.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("covered"), F.sum("slot").alias("slots"), F.sum("changed").alias("changed_slots"), F.sum("same").alias("same")
     )
-    enough = whole.filter((F.col("covered") >= ENOUGH) | (F.col("covered") >= F.col("item_tokens") * SHARE))
+    worded = F.col("same") >= F.least(F.ceil(F.col("covered") / (2 * WINDOW)) * LITERALS, F.col("item_plain"))
+    enough = whole.filter(worded & ((F.col("covered") >= ENOUGH) | (F.col("covered") >= F.col("item_tokens") * SHARE)))
     return enough.select(F.col("id").alias("doc_id"), "text_key", "item_id", F.col("item_tokens").cast("bigint").alias("item_tokens"), "covered", "slots", "changed_slots")
 
 

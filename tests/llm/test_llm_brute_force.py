@@ -207,6 +207,18 @@ def test_short_items_are_compared_word_by_word(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]
 
 
+def test_questions_dense_in_slots_and_items_in_other_case_are_found(spark):
+    dense = "If Sam buys 12 kg for $30 and 8 kg for $20, how much is 1 kg?"
+    other = "If Tom buys 15 kg for $45 and 9 kg for $27, how much is 1 kg?"
+    odd = "If Tom buys 15 kg for $45 and 15 lb for $45, how much is 15 oz?"
+    named = "Where does Alice Miller keep the red book she bought in Paris with Bob Stone last year"
+    tail = "They sold boxes of apples at 5 kg 3 lb 7 oz"
+    rows = [other, odd, named.lower(), named.upper(), "Now they sold boxes of apples at 6 kg 4 lb 8 oz Bob said.", "1 2 3 4 5 6 7 8 9 10 11 12 of the in and so"]
+    bench = importable(spark).createDataFrame([(1, dense), (2, named), (3, tail), (4, "50 61 72 83 94 15 26 37 48 59 of the in " + "which nothing else is said here")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in templates.leaks(as_docs(spark, rows), bench).collect()}
+    assert got == {(0, 1): 17, (2, 2): 17, (3, 2): 17, (4, 3): 12}
+
+
 # --- 4 and 8 classifiers ----------------------------------------------------------------------------
 
 
