@@ -1,22 +1,25 @@
 """License scans by conditional compression.
 
-Sentences and lines that mention licensing, with directly following ones merged, are candidate blocks. A block is compressed
-with zstandard, once plainly and once with each template as raw dictionary; templates are ranked by the share of
-bytes they save. The winner is confirmed by its wording: the words that the block lacks and those that it adds between
-its first and last matching words are listed, and the block counts if these are few and no number is among them, as
-versions tell licenses apart. Where a winner fails, the next in rank is tried while it saves enough.
-
-Blocks repeat in many documents, so each distinct block is judged once per Python worker and remembered.
-
-Defined results: null and empty texts have no blocks. Rows that repeat an id or a text are reported as often as they come; null
-ids are kept. An empty table gives no rows. Extra columns are ignored. Texts are scanned whole; a block of any length is
-compressed whole.
+Texts are read as words, so that line ends, comment marks and punctuation do not matter. Around each cue word, every template
+that holds a cue of its kind is laid over the text with the two cues in one place, and the words that it covers (and as many more on
+either side as may be added) are its window. A window is trimmed to the template's first and last matching words, and
+compressed with zstandard, once plainly and once with the template as raw dictionary; the share of bytes saved is therefore that of the
+notice and not of the text around it. A match is confirmed by its wording: the words that the window lacks and those that
+it adds in between are listed, and it counts if these are few and neither a number nor a license's name is
+among them, as these tell licenses apart. Confirmed matches are taken by the bytes they save, each one outside those
+taken before, until none is left.
+
+Notices repeat in many documents, so each distinct one is compressed once per Python worker and template and remembered.
+
+Defined results: null and empty texts have no notices. Rows that repeat an id or a text are reported as often as they come; null
+ids are kept. An empty table gives no rows. Extra columns are ignored. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -59,78 +62,114 @@ TEMPLATES = {
 }
 
 CUES = ("licens", "licenc", "rights reserved", "copyright", "permission is", "redistribution", "public domain", "creative commons")
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|$)", re.MULTILINE)
-_WORD = re.compile(r"[\w.-]*\w")
+_CUE = re.compile("(licen[sc])|(reserved$)|(copyright)|(permission$)|(redistribution)|(domain$)|(commons$)")  # the kinds of cue words
+_WORD = re.compile(r"\w(?:[\w.-]*\w)?")
+_MARKS = re.compile(r"[^\w\s]*")
+NAMES = frozenset(
+    "mit apache gnu lesser library affero bsd mozilla isc cc creative commons attribution sharealike noncommercial noderivatives noderivs by sa nc nd".split()
+)
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """Candidate blocks with the code point they start at."""
-    low = text.lower()
-    if len(low) != len(text):  # some capitals lower to two letters; offsets must stay those of the text
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(cue in low for cue in CUES):
-        return []
-    found: list[tuple[int, int]] = []
-    for m in _SENTENCE.finditer(low):
-        if m[0].strip() and any(cue in m[0] for cue in CUES):
-            if found and not low[found[-1][1] : m.start()].strip():
-                found[-1] = (found[-1][0], m.end())
-            else:
-                found.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
-    return [(a, text[a:b]) for a, b in found]
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def cues(found: list[str]) -> list[tuple[int, int]]:
+    """(place, kind) of the cue words."""
+    return [(i, m.lastindex) for i, w in enumerate(found) if (m := _CUE.search(w))]
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    text: str
+    words: tuple[str, ...]
+    distinct: frozenset[str]
+    cues: tuple[tuple[int, int], ...]
+    spare: int  # words that may be lacking or added
 
 
 @lru_cache(maxsize=1)
-def _packers() -> tuple[zstandard.ZstdCompressor, list[tuple[str, str, zstandard.ZstdCompressor]]]:
+def templates() -> list[Template]:
+    each = [(name, t, tuple(words(t))) for name, texts in TEMPLATES.items() for t in texts]
+    return [Template(name, t, w, frozenset(w), tuple(cues(w)), int(MOST_DIFFERENT * len(w))) for name, t, w in each]
+
+
+@lru_cache(maxsize=1)
+def _packers() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
     of = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    each = [(name, t, zstandard.ZstdCompressor(level=19, dict_data=of(t))) for name, texts in TEMPLATES.items() for t in texts]
-    return zstandard.ZstdCompressor(level=19), each
+    return zstandard.ZstdCompressor(level=19), {t.text: zstandard.ZstdCompressor(level=19, dict_data=of(t.text)) for t in templates()}
 
 
-def ranked(block: str) -> list[tuple[float, str, str]]:
-    """(share saved, license, template) by falling savings; ties in the order of the templates."""
+@lru_cache(maxsize=KNOWN)
+def savings(notice: str, template: str) -> tuple[int, float]:
+    """Bytes and share of the notice's compressed size that the template saves."""
     plain, each = _packers()
-    raw = block.encode("utf-8", "replace")
+    raw = notice.encode("utf-8", "replace")
     size = len(plain.compress(raw))
-    return sorted(((1 - len(p.compress(raw)) / size, name, t) for name, t, p in each), key=lambda r: -r[0])
+    saved = size - len(each[template].compress(raw))
+    return saved, saved / size
 
 
-def wording(block: str, template: str) -> tuple[list[str], list[str], int]:
-    """Words of the template that the block lacks, words that it adds in between, and the template's number of words."""
-    a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
+def wording(a: tuple[str, ...], b: list[str]) -> tuple[int, int, list[str], list[str]]:
+    """First and last place in ``b`` that match the template ``a``, words that ``b`` lacks, and words that it adds in between."""
+    if list(a) == b:
+        return 0, len(b), [], []
     same = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return a, b, len(a)
+        return 0, 0, list(a), []
     matched = {i for m in same for i in range(m.a, m.a + m.size)}
     inside = {i for m in same for i in range(m.b, m.b + m.size)}
-    span = range(same[0].b, same[-1].b + same[-1].size)
-    return [w for i, w in enumerate(a) if i not in matched], [b[i] for i in span if i not in inside], len(a)
+    start, stop = same[0].b, same[-1].b + same[-1].size
+    return start, stop, [w for i, w in enumerate(a) if i not in matched], [b[i] for i in range(start, stop) if i not in inside]
 
 
-@lru_cache(maxsize=KNOWN)
-def judged(block: str) -> tuple[str, float, tuple[str, ...], tuple[str, ...]] | None:
-    """License, share saved, lacking and added words of the best template that the wording confirms."""
-    for saved, name, template in ranked(block):
-        if saved < LEAST_SAVED:
-            return None
-        lacking, added, words = wording(block, template)
-        numbers = any(c.isdigit() for w in (*lacking, *added) for c in w)
-        if not numbers and len(lacking) + len(added) <= MOST_DIFFERENT * words:
-            return name, saved, tuple(lacking), tuple(added)
-    return None
+def _tells(word: str) -> bool:
+    return any(c.isdigit() for c in word) or not NAMES.isdisjoint(word.split("-"))
+
+
+def notices(text: str) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+    """(start, length, license, share saved, lacking, added) of every confirmed notice, in the order of the text."""
+    low = text.lower()
+    if not any(cue.split()[0] in low for cue in CUES):
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    found = [text[a:b].lower() for a, b in spans]
+    at = cues(found)
+    confirmed = []
+    for order, t in enumerate(templates()):
+        n, seen = len(t.words), set()
+        for begin in sorted({c - k for c, kind in at for k, own in t.cues if kind == own}):
+            exact = begin >= 0 and tuple(found[begin : begin + n]) == t.words
+            low_end, high_end = (begin, begin + n) if exact else (max(0, begin - t.spare), begin + n + t.spare)
+            window = found[low_end:high_end]
+            if len(t.distinct.difference(window)) > t.spare:
+                continue
+            start, stop, lacking, added = wording(t.words, window)
+            start, stop = start + low_end, stop + low_end
+            if len(lacking) + len(added) > t.spare or any(map(_tells, (*lacking, *added))) or (start, stop) in seen:
+                continue
+            seen.add((start, stop))
+            first, last = spans[start][0], _MARKS.match(text, spans[stop - 1][1]).end()
+            saved, share = savings(text[first:last], t.text)
+            if share >= LEAST_SAVED:
+                confirmed.append((-saved, len(lacking) + len(added), order, start, stop, (first, last - first, t.name, share, lacking, added)))
+    taken: list[tuple] = []
+    for *_, start, stop, row in sorted(confirmed):
+        if all(stop <= a or start >= b for a, b, _ in taken):
+            taken.append((start, stop, row))
+    return [row for _, _, row in sorted(taken)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per confirmed block: doc_id, start, length, license, saved, lacking, added, exact."""
+    """One row per confirmed notice: doc_id, start, length, license, saved, lacking, added, exact."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                for start, block in blocks(text.as_py()):
-                    if (found := judged(block)) is not None:
-                        name, saved, lacking, added = found
-                        out.append((doc_id.as_py(), start, len(block), name, saved, list(lacking), list(added), not lacking and not added))
+                for start, length, name, saved, lacking, added in notices(text.as_py()):
+                    out.append((doc_id.as_py(), start, length, name, saved, lacking, added, not lacking and not added))
             columns = list(zip(*out)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 

@@ -355,6 +355,18 @@ def test_licenses(spark, docs, texts):
     assert rows[0].lacking == ["license"] and rows[0].added == ["licence"]
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    prose = "and the long report goes on about many other matters of the valley " * 8
+    texts = [
+        "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", "Released under the MIT License. All rights reserved.",
+        "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0.",
+        f"{prose}released under the MIT License {prose}", "Copyright 2020 A. Person\nReleased under the MIT License.\nCopyright 2021 B. Person",
+        "It is licensed under the License, and distributed under the Foo License.", "Licensed under CC BY-NC-ND 4.0.",
+    ]
+    got = [(r.doc_id, r.license) for r in licenses.scan(as_docs(spark, texts)).orderBy("doc_id", "start").collect()]
+    assert got == [(0, "Apache-2.0"), (0, "CC-BY-NC-4.0"), (1, "MIT"), (1, "LicenseRef-all-rights-reserved"), (2, "GPL-3.0"), (2, "Apache-2.0"), (3, "MIT"), (4, "MIT")]
+
+
 # --- 9, 10 dedup ------------------------------------------------------------------------------------
 
 
