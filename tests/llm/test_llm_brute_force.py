@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -367,6 +368,14 @@ def test_every_notice_of_a_text_is_found(spark):
     assert got == [(0, "Apache-2.0"), (0, "CC-BY-NC-4.0"), (1, "MIT"), (1, "LicenseRef-all-rights-reserved"), (2, "GPL-3.0"), (2, "Apache-2.0"), (3, "MIT"), (4, "MIT")]
 
 
+def test_every_template_is_found_wrapped_and_behind_comment_marks(spark):
+    each = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    wrapped = lambda t, mark: "int a;\n" + "\n".join(mark + line for part in t.split("\n") for line in textwrap.wrap(part, 40, break_on_hyphens=False, break_long_words=False)) + "\nint b;"
+    rows = licenses.scan(as_docs(spark, [wrapped(t, mark) for _, t in each for mark in ("", "// ", " * ")])).collect()
+    assert sorted((r.doc_id, r.license, r.exact) for r in rows) == [(i, each[i // 3][0], True) for i in range(3 * len(each))]
+    assert {"MPL-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause"} <= {name for name, t in each if len(t) > 150}
+
+
 # --- 9, 10 dedup ------------------------------------------------------------------------------------
 
 
