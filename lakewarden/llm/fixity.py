@@ -5,6 +5,9 @@ SHA-256 of a record's stored bytes in the range that the primary's index gives;
 and hashes of up to ``FANOUT`` children in order, up to one root per file. Roots of two replicas are compared, and only the
 children of nodes that differ are compared further, so an audit reads as many tree rows as there is damage, and no
 record bytes at all once both trees exist. Ranges that a replica lacks (a short or missing file) have no hash and differ.
+The last leaf of a file is its tail, from the end of the last record to the end of the file as it is in that replica, so the index,
+bytes cut from the end and bytes appended are covered as well. ``audit`` reports records, and ``file_audit`` tails and
+files, those that only the replica has among them.
 
 Defined results: null urls and bodies are written as empty; null keys and repeated rows are records like any other; a body of
 any size is one record. An empty table makes no files and no rows. Extra columns are ignored.
@@ -18,6 +21,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +77,11 @@ def _index(source) -> list[tuple]:
     return list(_INDEX.iter_unpack(gzip.decompress(source.read(length))))
 
 
-def _per_file(manifest: DataFrame, row_of, schema: str, names: list[str], types: list) -> DataFrame:
-    """Run ``row_of(manifest row, number of the first record, index entries)`` over the records of every file."""
+def _per_file(manifest: DataFrame, row_of, schema: str, names: list[str], types: list, last=None) -> DataFrame:
+    """Run ``row_of(manifest row, number of the first record, index entries)`` over the records of every file.
+
+    ``last(manifest row, index entries)`` gives further rows after them.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +92,8 @@ def _per_file(manifest: DataFrame, row_of, schema: str, names: list[str], types:
                 for i in range(0, len(entries), 4096):
                     out = list(row_of(row, i, entries[i : i + 4096]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                if last is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*last(row, entries)), types)], names)
 
     return files.spread(manifest).mapInArrow(task, schema)
 
@@ -103,15 +112,34 @@ def records(manifest: DataFrame) -> DataFrame:
 
 
 def leaves(manifest: DataFrame, replica: str | None = None) -> DataFrame:
-    """Leaf hashes of the files, or of the files of the same names in the folder ``replica``: shard, pos, start, stop, hash."""
+    """Leaf hashes of the files, or of the files of the same names in the folder ``replica``: shard, pos, start, stop, hash.
 
-    def rows(row: dict, first: int, entries: list[tuple]):
+    Positions are those of the records; the tail comes after them, and its stop is the file's size in this replica.
+    """
+
+    def opened(row: dict):
         path = row["path"] if replica is None else f"{replica}/{row['path'].rsplit('/', 1)[1]}"
         system, at = files.located(path)
         try:
-            source = system.open_input_file(at)
+            return system.open_input_file(at)
         except FileNotFoundError:
-            source = None
+            return None
+
+    def tail(row: dict, entries: list[tuple]):
+        start, source = (entries[-1][-2] + entries[-1][-1] if entries else 0), opened(row)
+        if source is None:
+            return [(row["shard"], len(entries), start, start, None)]
+        with source:
+            size, digest = source.size(), hashlib.sha256()
+            if size < start:
+                return [(row["shard"], len(entries), start, start, None)]
+            source.seek(start)
+            while data := source.read(1 << 20):
+                digest.update(data)
+        return [(row["shard"], len(entries), start, size, digest.hexdigest())]
+
+    def rows(row: dict, first: int, entries: list[tuple]):
+        source = opened(row)
         for n, (*_, offset, length) in enumerate(entries, first):
             data = b""
             if source is not None and offset + length <= source.size():
@@ -122,7 +150,7 @@ def leaves(manifest: DataFrame, replica: str | None = None) -> DataFrame:
             source.close()
 
     schema = "shard bigint, pos bigint, start bigint, stop bigint, hash string"
-    return _per_file(manifest, rows, schema, ["shard", "pos", "start", "stop", "hash"], [pa.int64()] * 4 + [pa.string()])
+    return _per_file(manifest, rows, schema, ["shard", "pos", "start", "stop", "hash"], [pa.int64()] * 4 + [pa.string()], tail)
 
 
 def tree(leaf: DataFrame) -> tuple[DataFrame, int]:
@@ -186,15 +214,57 @@ def replicate(manifest: DataFrame, folder: str, flip: int | None = None) -> Data
     return staged(files.spread(manifest).mapInArrow(task, "shard bigint, n_damaged bigint"), "replica")
 
 
-def audit(manifest: DataFrame, replica: str) -> DataFrame:
-    """Every record with its state in the replica: key, body_bytes, body_sha256, status, shard, offset, length."""
+def _damage(manifest: DataFrame, replica: str) -> DataFrame:
     ours, top = tree(leaves(manifest))
     theirs, _ = tree(leaves(manifest, replica))
-    bad = damaged(ours, theirs, top).select("shard", F.col("pos").alias("seq"), F.lit("damaged").alias("status"))
+    return damaged(ours, theirs, top)
+
+
+def _states(manifest: DataFrame, bad: DataFrame) -> DataFrame:
+    bad = bad.select("shard", F.col("pos").alias("seq"), F.lit("damaged").alias("status"))
     found = records(manifest).join(bad, ["shard", "seq"], "left")
     return found.select("key", "body_bytes", "body_sha256", F.coalesce("status", F.lit("intact")).alias("status"), "shard", "offset", "length")
 
 
+def audit(manifest: DataFrame, replica: str) -> DataFrame:
+    """Every record with its state in the replica: key, body_bytes, body_sha256, status, shard, offset, length."""
+    return _states(manifest, _damage(manifest, replica))
+
+
+def _listed(manifest: DataFrame, folder: str) -> DataFrame:
+    """Paths below ``folder`` of all its files, listed by one task as they are names only."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, at = files.located(folder)
+            found = system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+            names = [f.path[len(at.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
+
+    return manifest.sparkSession.range(0, 1, 1, 1).mapInArrow(task, "file string")
+
+
+def _file_states(manifest: DataFrame, replica: str, bad: DataFrame) -> DataFrame:
+    shards = manifest.select("shard", F.element_at(F.split("path", "/"), -1).alias("file"), "n_records")
+    there = staged(_listed(manifest, replica), "replica-files")
+    hurt = bad.join(shards, "shard").groupBy("shard").agg(
+        F.count(F.when(F.col("pos") < F.col("n_records"), 1)).alias("n_damaged"), F.max((F.col("pos") == F.col("n_records")).cast("int")).alias("tail")
+    )
+    known = shards.join(hurt, "shard", "left").join(there.withColumn("there", F.lit(True)), "file", "left")
+    status = F.when(F.col("there").isNull(), "missing").when(F.coalesce("n_damaged", F.lit(0)) > 0, "damaged").when(F.col("tail") == 1, "tail").otherwise("intact")
+    known = known.select("file", "shard", status.alias("status"), F.coalesce("n_damaged", F.lit(0)).alias("n_damaged"), F.coalesce(F.col("tail") == 1, F.lit(False)).alias("tail_differs"))
+    extra = there.join(shards.select("file"), "file", "left_anti")
+    return known.union(extra.select("file", F.lit(None).cast("bigint"), F.lit("extra"), F.lit(0).cast("bigint"), F.lit(False)))
+
+
+def file_audit(manifest: DataFrame, replica: str) -> DataFrame:
+    """Every file of the manifest or the replica: file, shard, status, n_damaged (records), tail_differs.
+
+    ``status`` is intact, damaged (records), tail (only what follows the records), missing, or extra (the replica's alone).
+    """
+    return _file_states(manifest, replica, _damage(manifest, replica))
+
+
 def audited_copy(pages: DataFrame, flip: int = 101) -> DataFrame:
     """Write ``pages`` as archives, copy them with planted damage, and locate it: page_id, body_bytes, body_sha256, status."""
     spark = pages.sparkSession

@@ -173,6 +173,30 @@ def test_archives_are_warc_and_audits_find_short_and_missing_files(spark):
     assert {k for k, s in state.items() if s == "damaged"} == whole
 
 
+def test_audits_find_tails_and_files_that_only_the_replica_has(spark):
+    pages = importable(spark).createDataFrame([(i, f"http://x/{i}", "é" * i) for i in range(60)], "page_id long, url string, html string")
+    folder, copy = shared_folder(spark, "warc"), shared_folder(spark, "replica")
+    manifest = fixity.write_archive(pages, folder)
+    fixity.replicate(manifest, copy)
+    assert {r.status for r in fixity.file_audit(manifest, copy).collect()} == {"intact"}
+    path = files.located(manifest.orderBy("shard").first().path)[1]
+    name = path.rsplit("/", 1)[1]
+    with open(path, "rb") as f:
+        raw = f.read()
+    flipped = bytearray(raw)
+    flipped[-20] ^= 0xFF
+    at = files.located(copy)[1]
+    for changed in (raw[:-5], bytes(flipped), raw + b"more"):
+        with open(f"{at}/{name}", "wb") as f:
+            f.write(changed)
+        got = {r.file: (r.status, r.n_damaged, r.tail_differs) for r in fixity.file_audit(manifest, copy).collect()}
+        assert got.pop(name) == ("tail", 0, True) and set(got.values()) <= {("intact", 0, False)}
+        assert {r.status for r in fixity.audit(manifest, copy).collect()} == {"intact"}
+    with open(f"{at}/stray.warc.gz", "wb") as f:
+        f.write(raw)
+    assert {r.file for r in fixity.file_audit(manifest, copy).collect() if r.status == "extra"} == {"stray.warc.gz"}
+
+
 def test_audit_reads_only_branches_that_differ(spark):
     leaf = importable(spark).range(1000).select(F.lit(0).alias("shard"), F.col("id").alias("pos"), F.col("id").alias("start"), (F.col("id") + 1).alias("stop"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
     ours, top = fixity.tree(leaf)
