@@ -11,7 +11,7 @@ literal marker, are encoded and compared whole. A text or chunk whose ids differ
 
 Defined results: null and empty texts have no ids and decode to the empty text. Repeated rows are encoded alike; null
 ids of documents are kept; an empty table gives no rows; extra columns are ignored by ``encoded`` and kept by
-``with_ids`` unless they are named ``token_ids`` or ``n_tokens``, which are replaced. Texts are encoded whole.
+``with_ids`` unless they are named ``token_ids``, ``n_tokens``, ``parity`` or ``round_trip``, which are replaced. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -185,9 +185,9 @@ def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with ``token_ids`` (array of int) in place of the text, and ``n_tokens``."""
+    """The rows of ``docs`` with ``token_ids`` (array of int) in place of the text, ``n_tokens``, and ``parity`` and ``round_trip`` as in ``encoded``."""
     model = _shipped(docs, model_path or default_model())
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "token_ids", "n_tokens")]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "token_ids", "n_tokens", "parity", "round_trip")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value)
@@ -195,16 +195,19 @@ def with_ids(docs: DataFrame, model_path: str | None = None) -> DataFrame:
             texts = batch.column(0).to_pylist()
             at = 0
             for run in pieces(texts, 1 << 20):
-                ids = [ids for ids, _ in own.encode(run)]
+                done = own.encode(run)
+                ids = [ids for ids, _ in done]
+                back = [b == t.replace(MARK, " ") for b, t in zip(own.decode(ids), run)]
                 ends = np.cumsum([0, *[len(i) // 4 for i in ids]], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 part = batch.slice(at, len(run))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(np.diff(ends).astype(np.int64))],
-                    [f.name for f in kept] + ["token_ids", "n_tokens"],
+                    [*part.columns[1:], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(np.diff(ends).astype(np.int64)),
+                     pa.array([same for _, same in done], pa.bool_()), pa.array(back, pa.bool_())],
+                    [f.name for f in kept] + ["token_ids", "n_tokens", "parity", "round_trip"],
                 )
                 at += len(run)
 
     rows = docs.select(whole_text().alias("_piece_text"), *[F.col(f"`{f.name}`") for f in kept])
     schema = rows.drop("_piece_text").schema
-    return rows.mapInArrow(task, schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
+    return rows.mapInArrow(task, schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("parity", T.BooleanType()).add("round_trip", T.BooleanType()))

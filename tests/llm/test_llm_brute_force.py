@@ -351,6 +351,12 @@ def test_pieces_equal_sentencepiece(spark, docs, texts):
         assert r.token_ids == plain.encode(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
 
 
+def test_rows_with_ids_carry_parity_and_round_trip(spark):
+    rows = as_docs(spark, ["Some plain words", "a" + " " * 64 + "b", None])
+    want = {(r.doc_id, r.n_tokens, r.parity, r.round_trip) for r in sentencepieces.encoded(rows).collect()}
+    assert {(r.doc_id, r.n_tokens, r.parity, r.round_trip) for r in sentencepieces.with_ids(rows).collect()} == want and len(want) == 3
+
+
 def test_unigram_models_are_rebuilt():
     from sentencepiece import sentencepiece_model_pb2
 
