@@ -4,9 +4,11 @@ A document's set holds its distinct four-word shingles. Two documents are linked
 similarity of ``LEAST`` hundredths or more. Shingles are 64-bit hashes: a pair's overlap would be off only if two of its
 own few thousand shingles collided.
 
-1. Equal sets are one class (128-bit digest of the sorted set), so copies of any number are one entry from here on.
-2. A shingle that only one class has is in no overlap, so a class with more than 15% of such shingles has no partner.
-   This is counted on a quarter of the hash space, and then on what is left, before any set is moved.
+1. Equal sets are one class (128-bit digest of the sorted set), so copies of any number are one entry.
+2. A shingle that only one document has is in no overlap, so a document with more than 15% of such shingles has no partner
+   but its copies. This is counted on a quarter of the hash space, before any whole set is moved, and then on whole sets of
+   the classes that are left. Their documents are picked by a Bloom filter of ids while texts are read once more, so that no
+   text is shuffled; where they are too many for its ``BLOOM_BITS``, by a join before it.
 3. The global order of shingles, rare ones first, is cut into ``FRAGMENTS`` fragments of about equal weight, and every set
    into one segment per fragment. The first 15% of a set (prefix) meet the prefix of every partner.
 4. Pairs are proposed by shingles of the prefixes, within length bounds and as far as the positions leave enough overlap.
@@ -38,6 +40,7 @@ from .components import components
 
 LEAST, WORDS, SEED = 85, 4, 42
 FRAGMENTS, BANDS_PER_DOUBLING = 8, 4
+BLOOM_BITS = 1 << 26  # at most; sized to 16 bits an id
 KNOWN = 1 << 19  # words whose hashes a worker remembers; starts afresh when full
 MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63], dtype="<u8")
 
@@ -64,12 +67,18 @@ def shingle_set(text: str, hashes: dict) -> np.ndarray:
     return np.unique((mixed ^ (mixed >> np.uint64(29))).view("<i8"))
 
 
-def _sets(part: int) -> Callable:
-    """A task that gives (doc_id, n, digest, shingles) per row, with the shingles whose hash is a multiple of ``part``."""
+def _sets(part: int, marks: np.ndarray | None) -> Callable:
+    """A task that gives (doc_id, n, digest, shingles) per row, with the shingles whose hash is a multiple of ``part``.
+
+    With ``marks``, the bits of a Bloom filter, only for the rows whose marked id may be in it.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
+            if marks is not None:
+                mark = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(np.logical_and(*(marks[at >> 6] >> (at & 63) & 1 for at in _spots(mark, len(marks) * 64)))))
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 sets = [shingle_set(t.as_py(), hashes) for t in rows.column(1)]
@@ -83,9 +92,28 @@ def _sets(part: int) -> Callable:
     return task
 
 
-def _with_sets(docs: DataFrame, part: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(_sets(part), "doc_id bigint, n bigint, digest binary, shingles array<bigint>")
+def _spots(mark, bits: int) -> tuple:
+    """The two bits of a hashed id in a filter of ``bits`` (a power of two) bits."""
+    return mark & (bits - 1), (mark >> 32) & (bits - 1)
+
+
+def _with_sets(docs: DataFrame, part: int, marks: np.ndarray | None = None) -> DataFrame:
+    doc_id = F.col("doc_id").cast("bigint")
+    rows = docs.select(doc_id.alias("doc_id"), whole_text().alias("text"), F.xxhash64(doc_id).alias("mark"))
+    return rows.mapInArrow(_sets(part, marks), "doc_id bigint, n bigint, digest binary, shingles array<bigint>")
+
+
+def _marks(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of ``count`` ids (doc_id), collected by words; at most BLOOM_BITS."""
+    bits = min(BLOOM_BITS, 1 << max(6, (16 * count - 1).bit_length()))
+    mark = F.xxhash64("doc_id")
+    spots = F.explode(F.array(mark.bitwiseAND(F.lit(bits - 1)), F.shiftright(mark, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.select(spots).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marks = np.zeros(bits // 64, dtype="<i8")
+    for r in words.toLocalIterator():
+        marks[r.word] = r.bits
+    return marks
 
 
 def _sharing(sets: DataFrame) -> DataFrame:
@@ -184,11 +212,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = staged(_with_sets(docs, 4).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     classes = rows.filter("n > 0").groupBy("digest", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"))
     classes = staged(classes, "jaccard-classes")
-    part = rows.select(F.col("row").alias("id"), "n", "shingles").join(classes.select("id"), "id", "left_semi")
-    likely = classes.join(_sharing(part), "id")
-    wanted = rows.join(likely.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
-    again = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
-    whole = _with_sets(again, 1).dropDuplicates(["digest"]).join(likely.select("digest", "id"), "digest")
+    sharing = _sharing(rows.filter("n > 0").select(F.col("row").alias("id"), "n", "shingles"))
+    likely = classes.select("digest", "id").join(sharing, "id").join(rows.select(F.col("row").alias("id"), "doc_id"), "id")
+    likely = staged(likely, "jaccard-likely")
+    count = likely.count()
+    if 16 * count > BLOOM_BITS:
+        wanted = likely.select(F.col("doc_id").alias("wanted")).distinct()
+        docs = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
+    whole = _with_sets(docs, 1, _marks(likely, count)).dropDuplicates(["digest"]).join(likely.select("digest", "id"), "digest")
     whole = staged(whole.select("id", "n", "shingles"), "jaccard-whole")
     roots = components(links(whole.join(staged(_sharing(whole), "jaccard-sharing"), "id", "left_semi")))
     placed = classes.join(roots, classes["id"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "id").alias("root"))
