@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bronze import key_text
+from .keysearch import smallest_key
 
 # Name lists and limits the suggestions are defined by.
 VOLATILE_NAMES = (
@@ -56,7 +56,6 @@ WATERMARK_PARTS = ("update", "modif", "alter", "ultima", "ult_", "atualizacao")
 DATE_NAME_PARTS = ("date", "time", "dt", "created", "updated", "modified")
 SKETCH_LOG = 12
 SKETCH_ERROR = 6 * 1.04 / 2 ** (SKETCH_LOG / 2)  # six standard errors of the distinct sketch
-SETS_PER_PASS = 200  # sketches of 4 KB in one pass over the table
 
 _TIMELIKE = (T.DateType, T.TimestampType, T.TimestampNTZType)
 _NOT_KEYS = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
@@ -254,31 +253,15 @@ def key_rank(name: str, data_type: T.DataType, required: bool, distinct: int | N
     return score
 
 
-def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[int]:
-    """Distinct rows of each column set from sketches, SETS_PER_PASS sets in one pass; only the counts come back."""
-    out: list[int] = []
-    for at in range(0, len(sets), SETS_PER_PASS):
-        part = sets[at : at + SETS_PER_PASS]
-        value = lambda s: F.struct(*[F.col(f"`{c}`") for c in s])
-        out += list(df.agg(*[distinct_estimate(value(s)).alias(f"u{i}") for i, s in enumerate(part)]).collect()[0])
-    return out
-
-
-def _is_unique(df: DataFrame, columns: tuple[str, ...]) -> bool:
-    return df.groupBy(*[F.col(f"`{c}`") for c in columns]).count().filter("count > 1").isEmpty()
-
-
 def discover_key(
     df: DataFrame, declared: list[str] | None = None, watermarks: list[str] | None = None, rows: int | None = None,
     required: list[str] | None = None,
 ) -> KeyFinding:
     """A minimal key for a table without a constraint, found on the whole table.
 
-    A declared key wins. Otherwise all column sets are tested level by level, smallest first, and within a level
-    in the order of their columns' promise. A set is passed over only if it cannot be a key: the product of its
-    columns' distinct counts, or its own sketch, stays below the row count by more than the sketches' error.
-    What is left is confirmed by an exact count until one set holds; as all smaller sets were ruled out before, it is
-    minimal. The search starts only if all eligible columns together are unique, so that it ends with a key.
+    A declared key wins. Otherwise the smallest key among the eligible columns, and of several of one size the first in the order
+    of their columns' promise, is searched by hitting sets (``keysearch``): candidates are refuted by rows that agree on
+    them, and the one returned was confirmed by an exact aggregate over all rows. A table whose rows repeat has none.
     """
     if declared:
         return KeyFinding(tuple(declared), "CONSTRAINT", 1.0, "declared", rows=rows or 0)
@@ -296,18 +279,11 @@ def discover_key(
     filled = {f.name: sketch[f"z{i}"] == 0 or f.name.upper() in must for i, f in enumerate(fields)}
     ranked = sorted(fields, key=lambda f: key_rank(f.name, f.dataType, filled[f.name], distinct[f.name], total), reverse=True)
     names = [f.name for f in ranked]
-    tested = 0
-    least = total * (1 - SKETCH_ERROR)
-    everything = tuple(names)
-    if not total or (_estimates(df, [everything])[0] < least) or not _is_unique(df, everything):
-        return KeyFinding(tested=1, rows=total)
-    for size in range(1, len(names) + 1):
-        sets = [s for s in combinations(names, size) if _could_be_unique(s, distinct, total)]
-        likely = [s for s, n in zip(sets, _estimates(df, sets)) if n >= least]
-        tested += len(sets)
-        chosen = next((s for s in likely if _is_unique(df, s)), None)
-        if chosen:
-            break
+    bounds = [distinct[c] * (1 + SKETCH_ERROR) + 1 for c in names]  # NULL may be one more value
+    key, tested = smallest_key(df, names, bounds, total)
+    if key is None:
+        return KeyFinding(tested=tested, rows=total)
+    chosen = tuple(names[i] for i in key)
     score = 0.60 + 0.10
     if all(filled[c] for c in chosen):
         score += 0.15
@@ -317,13 +293,6 @@ def discover_key(
     return KeyFinding(chosen, "CANDIDATE_DISCOVERY", round(min(score, 0.99), 2), method, True, True, tested, total)
 
 
-def _could_be_unique(columns: tuple[str, ...], distinct: dict[str, int], rows: int) -> bool:
-    reach = 1.0
-    for c in columns:
-        reach *= distinct[c] * (1 + SKETCH_ERROR) + 1  # NULL may be one more value
-    return reach >= rows
-
-
 # --- strategy -----------------------------------------------------------------------------------
 
 
