@@ -1,22 +1,27 @@
-"""Making table states durable with ordinary Spark tables.
+"""Making table states durable with Spark's own table writes.
 
-A full new state is written to a fresh folder and the table is then pointed at it, so readers see the
-old or the new state and a failed job leaves the old one in place. Partitioned tables do the same per
-partition, so that an increment costs what it touches. Where Delta is installed its tables work as sources and sinks of
-the same functions through ``spark.table`` and ``format``.
+A partitioned table is written with ``insertInto`` in dynamic overwrite mode: only the partitions among the rows are
+replaced, each after its new files are complete, so a state may be computed from the table itself and an increment costs
+what it touches. Partitions that a state leaves without rows are dropped in one statement afterwards. A table without partitions is
+replaced as a whole; a state that may read the table is staged in the shared checkpoint folder first. Where
+a table format is installed, its tables take the same states with real transactions.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from dataclasses import dataclass
 from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .writes import clustered, compaction_due
 
+PLAIN = "[A-Za-z0-9_.-]+"  # partition values that statements and folders spell alike
+
 
 def has_delta() -> bool:
     """Whether the Delta package is installed."""
@@ -26,66 +31,129 @@ def has_delta() -> bool:
         return False
 
 
-def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet") -> str:
-    """Write ``df`` as the new content of ``table`` below ``root`` and switch the table to it."""
+@dataclass(frozen=True)
+class Written:
+    """What a write put into a table, observed by the write itself: rows, highest value of a column, partitions."""
+
+    rows: int
+    highest: str | None = None
+    partitions: tuple = ()
+
+
+def _observed(df: DataFrame, highest: str | None, partition: str | None) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    most = F.max(f"`{highest}`").cast("string") if highest and highest in df.columns else F.lit(None).cast("string")
+    values = F.collect_set(f"`{partition}`") if partition else F.array()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), most.alias("highest"), values.alias("partitions")), seen
+
+
+def _written(seen: Observation) -> Written:
+    got = seen.get
+    return Written(got["rows"], got["highest"], tuple(got["partitions"]))
+
+
+def _location(table: str, root: str) -> str:
+    return f"{root.rstrip('/')}/{table.replace('.', '_')}-{uuid.uuid4().hex}"
+
+
+def _matched(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a table in its order, by name; columns that ``df`` lacks are NULL."""
+    given = {c.lower(): c for c in df.columns}
+    fields = df.sparkSession.table(table).schema.fields
+    values: list[Column] = [F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None) for f in fields]
+    return df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(values, fields)])
+
+
+def _add_columns(df: DataFrame, table: str) -> None:
+    known = {c.lower() for c in df.sparkSession.table(table).columns}
+    added = [f for f in df.schema.fields if f.name.lower() not in known]
+    if added:
+        df.sparkSession.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in added)})")
+
+
+def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet", highest: str | None = None, reads_table: bool = True) -> Written:
+    """Make ``df`` the whole content of a table without partitions; a new table gets a folder below ``root``.
+
+    ``reads_table`` says that ``df`` may be computed from the table, which is then staged first. Another schema replaces the table's.
+    """
     spark = df.sparkSession
-    location = f"{root.rstrip('/')}/{table.replace('.', '_')}/{uuid.uuid4().hex}"
-    df.write.format(fmt).mode("errorifexists").save(location)
     exists = spark.catalog.tableExists(table)
+    if exists and reads_table:
+        df = settle(df)
+    rows, seen = _observed(df, highest, None)
     if exists and spark.table(table).dtypes == df.dtypes:
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
-        spark.catalog.refreshTable(table)
-        return location
-    if exists:
-        spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"CREATE TABLE {table} USING {fmt} LOCATION '{location}'")
-    return location
-
-
-def commit_append(df: DataFrame, table: str, root: str, fmt: str = "parquet") -> None:
-    """Add rows to a table, creating it on first use. Columns that the table lacks are added to it first, with NULL in its
-    older rows; columns that ``df`` lacks are NULL in the new ones. Columns are matched by name."""
+        rows.write.insertInto(table, overwrite=True)
+    else:
+        rows.write.format(fmt).mode("overwrite").option("path", _location(table, root)).saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    return _written(seen)
+
+
+def commit_append(df: DataFrame, table: str, root: str, fmt: str = "parquet", highest: str | None = None, partition: str | None = None) -> Written:
+    """Add rows to a table, creating it on first use, with a partition column if one is given. Columns that the table lacks
+    are added to it first, with NULL in its older rows; columns that ``df`` lacks are NULL in the new ones. Columns are
+    matched by name."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        commit_snapshot(df, table, root, fmt)
-        return
-    known = {c.lower() for c in spark.table(table).columns}
-    added = [f for f in df.schema.fields if f.name.lower() not in known]
-    if added:
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in added)})")
-    given = {c.lower(): c for c in df.columns}
-    now = spark.table(table).schema.fields
-    rows = [F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None) for f in now]
-    df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(rows, now)]).write.insertInto(table)
+        rows, seen = _observed(df, highest, None)
+        writer = rows.write.format(fmt).option("path", _location(table, root))
+        (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+        return _written(seen)
+    _add_columns(df, table)
+    rows, seen = _observed(_matched(df, table), highest, None)
+    rows.write.insertInto(table)
     spark.catalog.refreshTable(table)
+    return _written(seen)
 
 
-def commit_partitions(df: DataFrame, table: str, root: str, partition: str, touched: list | None = None, fmt: str = "parquet") -> str:
-    """Replace whole partitions of a table: new files first, then each partition is pointed at them.
+def commit_partitions(
+    df: DataFrame, table: str, root: str, partition: str, touched: list | None = None, fmt: str = "parquet", whole: bool = False,
+    highest: str | None = None, plain: bool = False,
+) -> Written:
+    """Replace whole partitions of a table by dynamic overwrite, creating the table on first use.
 
-    Only the partitions in ``df`` are written. ``touched`` names the partitions the write was computed for;
-    those that ended up without rows are dropped. Partition values, not rows, come to the driver.
+    The partitions among the rows of ``df`` are replaced. ``touched`` names the partitions the state was computed for, ``whole``
+    says that it is the state of the whole table: those that ended up without rows are dropped. Partition
+    values, not rows, come to the driver. ``df`` may read the table. Values are checked first unless the caller knows them
+    to be ``plain``; of rows kept from the table the check reads partition names only.
     """
     spark = df.sparkSession
-    location = f"{root.rstrip('/')}/{table.replace('.', '_')}/{uuid.uuid4().hex}"
-    df.write.format(fmt).mode("errorifexists").partitionBy(partition).save(location)
-    kind = df.schema[partition].dataType
-    written = [r[0] for r in spark.read.format(fmt).schema(df.schema).load(location).select(partition).distinct().collect()]
-    odd = [v for v in written if v is None or not re.fullmatch(r"[A-Za-z0-9_.-]+", str(v))]
-    if odd:
-        raise ValueError(f"Partition values must be plain and not NULL: {odd[:3]}")
+    if not plain:
+        odd = df.select(F.col(partition).cast("string").alias("value")).filter(~F.coalesce(F.col("value").rlike(f"^{PLAIN}$"), F.lit(False)))
+        if found := [r.value for r in odd.limit(3).collect()]:
+            raise ValueError(f"Partition values must be plain and not NULL: {found}")
     if not spark.catalog.tableExists(table):
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt} PARTITIONED BY (`{partition}`) LOCATION '{location}_base'")
-    for value in written:
-        spec = f"(`{partition}` = {_literal(value, kind)})"
-        where = f"{location}/{partition}={value}"
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION {spec} LOCATION '{where}'")
-        spark.sql(f"ALTER TABLE {table} PARTITION {spec} SET LOCATION '{where}'")
-    for value in set(touched or []) - set(written):
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{partition}` = {_literal(value, kind)})")
+        rows, seen = _observed(df, highest, partition)
+        rows.write.format(fmt).partitionBy(partition).option("path", _location(table, root)).saveAsTable(table)
+        return _written(seen)
+    _add_columns(df, table)
+    rows, seen = _observed(_matched(df, table), highest, partition)
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    found = _written(seen)
+    before = partition_values(spark, table, partition) if whole else touched or []
+    drop_partitions(spark, table, partition, sorted(set(before) - set(found.partitions)))
     spark.catalog.refreshTable(table)
-    return location
+    return found
+
+
+def partition_values(spark: SparkSession, table: str, partition: str) -> list:
+    """The values of a table's partitions, from its catalog entry."""
+    kind = spark.table(table).schema[partition].dataType
+    names = spark.sql(f"SHOW PARTITIONS {table}").select(F.substring_index("partition", "=", -1).cast(kind).alias("value"))
+    return [r.value for r in names.collect()]
+
+
+def drop_partitions(spark: SparkSession, table: str, partition: str, values: list) -> None:
+    """Drop partitions in one statement."""
+    kind = spark.table(table).schema[partition].dataType
+    if values:
+        specs = ", ".join(f"PARTITION (`{partition}` = {_literal(v, kind)})" for v in values)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
 
 
 def _literal(value, kind) -> str:
@@ -124,7 +192,7 @@ def compact(
     if len(parts) > 1:
         raise ValueError("Tables with several partition columns are compacted by their table format")
     if parts:
-        commit_partitions(rows, table, root, parts[0])
+        commit_partitions(rows, table, root, parts[0], whole=True)
     else:
         commit_snapshot(rows, table, root)
     return True

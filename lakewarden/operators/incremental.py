@@ -230,20 +230,25 @@ def load_bronze(
 
     With ``stage`` the increment is read once into the checkpoint folder, so that counting, measuring and
     merging see the same rows even when the source changes meanwhile or an executor is lost; leave it out
-    for sources that do not change. Full and append loads use each row once and are neither staged nor
-    counted. When nothing is newer and the lookback is empty, nothing is written.
+    for sources that do not change. Full loads use each row once and are neither staged nor counted: the write observes
+    them. An append with a watermark reads strictly above the stored one, as it can't absorb rows that it has already; rows
+    without a watermark come with the first run only. When nothing is newer and the lookback is empty, nothing is written.
     """
     source = clean_names(source)
     plan = choose_write(cfg)
     if not cfg.enable_incremental:
         rows = add_full_refresh_columns(source, run_id, cfg.source_name, as_of)
         return BronzeLoad(plan.operation, plan.strategy, rows, source, watermark, rows=rows)
-    if plan.operation in ("OVERWRITE", "APPEND"):
+    appends = plan.operation == "APPEND" and bool(cfg.watermark) and cfg.watermark in source.columns
+    if plan.operation == "OVERWRITE" or plan.operation == "APPEND" and not appends:
         rows = add_technical_columns(source, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
         keep = plan.operation == "APPEND" and target is not None
         return BronzeLoad(plan.operation, plan.strategy, writes.append_log(target, rows) if keep else rows, source, watermark, rows=rows)
-    increment = source if plan.operation == "HASH_MERGE" else read_increment(source, cfg, watermark, as_of)
-    newer = True
+    if appends:
+        increment = source.filter(F.col(cfg.watermark) > typed_bound(source, cfg.watermark, watermark)) if watermark else source
+    else:
+        increment = source if plan.operation == "HASH_MERGE" else read_increment(source, cfg, watermark, as_of)
+    newer = not (appends and watermark)
     if plan.operation == "MERGE" and watermark and cfg.watermark:
         newer = has_newer(source, cfg.watermark, watermark)
     if stage:
@@ -256,11 +261,13 @@ def load_bronze(
     if not newer and not got["rows"]:
         load.short_circuited, load.watermark_end = True, watermark
         return load
-    load.late_arrivals = not newer
+    load.late_arrivals = not newer and not appends
     load.watermark_end = got.get("mark") or watermark
     rows = add_technical_columns(increment, run_id, cfg.source_name, as_of, cfg.watermark, list(cfg.volatile))
     load.rows, keys = rows, list(cfg.primary_key)
-    if plan.operation == "REPLACE_WHERE":
+    if appends:
+        load.state = rows if target is None else writes.append_log(target, rows)
+    elif plan.operation == "REPLACE_WHERE":
         low = shift(ntz(as_of), "DAY", -cfg.lookback_days)
         load.state = rows if target is None else writes.replace_window(target, rows, cfg.watermark, low)
     elif target is None:
@@ -281,6 +288,17 @@ def merge_metrics(load: BronzeLoad, target: DataFrame, cfg: LoadConfig) -> DataF
     )
 
 
+def silver_rows(bronze: DataFrame, contract: Contract, check_nulls: bool = True) -> DataFrame:
+    """Bronze rows that are not deleted, cast to the contract; with a key, the newest row of each."""
+    rows = bronze
+    if "_is_deleted" in bronze.columns:
+        rows = rows.filter(~F.coalesce("_is_deleted", F.lit(False)))
+    typed = cast_to_contract(rows, contract, check_nulls)
+    if not contract.primary_key:
+        return typed
+    return latest_per_key(writes.require_keys(typed, list(contract.primary_key)), list(contract.primary_key), contract.order_column)
+
+
 def promote_to_silver(
     bronze: DataFrame, target: DataFrame | None, contract: Contract, mode: str = "auto",
     window_column: str | None = None, lookback_days: int = DEFAULT_LOOKBACK_DAYS, as_of=None, check_nulls: bool = True,

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.commit import commit_partitions, commit_snapshot
-from ..operators.writes import newest_rows, one_per_key, require_keys, touched_partitions, upsert_newest
+from ..operators import merge
 from ..session import shared_dir
 
 LATE_BOUND = "3 days"
@@ -26,33 +25,11 @@ def upsert_batch(
 ) -> Callable[[DataFrame, int], None]:
     """The batch function of a continuous upsert. Repeating a batch gives the same table, so a retry is harmless.
 
-    With a partition column only the partitions the batch concerns are read and rewritten.
+    With a partition column only the partitions that the key index names are read, and only those that change are rewritten.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        rows = batch.persist()  # read once; several steps need it
-        try:
-            _write(rows)
-        finally:
-            rows.unpersist()
-
-    def _write(batch: DataFrame) -> None:
-        spark = batch.sparkSession
-        if not spark.catalog.tableExists(table):
-            fresh = one_per_key(require_keys(batch, keys), keys, order_column)
-            if partition:
-                commit_partitions(fresh, table, root, partition)
-            else:
-                commit_snapshot(fresh, table, root)
-            return
-        current = spark.table(table).select(*batch.columns)
-        if not partition:
-            commit_snapshot(upsert_newest(current, batch, keys, order_column), table, root)
-            return
-        newest = newest_rows(current, batch, keys, order_column)
-        values = [r[0] for r in touched_partitions(current, batch, keys, partition).collect()]
-        kept = current.filter(F.col(partition).isin(values)).join(batch.select(*keys), keys, "left_anti")
-        commit_partitions(kept.unionByName(newest), table, root, partition, touched=values)
+        merge.merge(batch, table, root, keys, partition, order_column, newest=True)
 
     return write
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -633,17 +636,58 @@ def _finding(t: Tables, name: str, f: discovery.KeyFinding, rows: DataFrame) ->
     )
 
 
+def _smallest(name: str, columns: list[str], most: int) -> str:
+    """SQL for the size of the smallest unique column set of a table, by counting every set of up to ``most`` columns."""
+    size = "null"
+    for n in range(most, 0, -1):
+        unique = " or ".join(f"count(distinct row({', '.join(s)})) = count(*)" for s in combinations(columns, n))
+        size = f"case when {unique} then {n} else {size} end"
+    return f"select '{name}' as t, cast({size} as integer) as key_size, count(*) as total_rows, count(*) as distinct_keys from @{name}"
+
+
+KEYLESS = ("l_shipdate", "o_orderdate")  # times are no key columns
+SEARCHED = {
+    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], 1),
+    "part": (["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], 1),
+    "lineitem": (["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], 3),
+    "conversations": (["conv_id", "turn", "role", "text"], 4),
+}
+
+
+def _sized(t: Tables, name: str, f: discovery.KeyFinding, rows: DataFrame) -> DataFrame:
+    size = F.lit(len(f.columns) or None).cast("int").alias("key_size")
+    return _finding(t, name, f, rows).select("t", size, "total_rows", F.when(size.isNotNull(), F.col("distinct_keys")).otherwise(F.col("total_rows")).alias("distinct_keys"))
+
+
+@query("key_discovery", " union all ".join(_smallest(name, *how) for name, how in SEARCHED.items()))
+def key_discovery(t: Tables):
+    """The smallest key of whole tables, whatever it takes; it is unique on all rows."""
+    found = [_sized(t, name, discovery.discover_key(df), df) for name, df in ((n, getattr(t, n)) for n in SEARCHED)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
-    "key_discovery",
+    "single_key",
     """select 'orders' as t, 'o_orderkey' as key_columns, cast(0.95 as double) as confidence, 'single_col' as method, count(*) as total_rows, count(distinct o_orderkey) as distinct_keys from @orders
        union all select 'part', 'p_partkey', cast(0.95 as double), 'single_col', count(*), count(distinct p_partkey) from @part""",
 )
-def key_discovery(t: Tables):
+def single_key(t: Tables):
     """Single keys, on whole tables."""
     found = [_finding(t, name, discovery.discover_key(df), df) for name, df in (("orders", t.orders), ("part", t.part))]
     return found[0].unionByName(found[1]).withColumn("confidence", F.col("confidence").cast("decimal(3,2)").cast("double"))
 
 
+BITS = {f"f{i}": f"floor(o_orderkey / {2**i}) % 2" for i in range(12)} | {"f12": "floor(o_orderkey / 4096)"}
+NEEDED = " + ".join(f"case when count(distinct {e}) > 1 then 1 else 0 end" for e in BITS.values())
+
+
+@query("wide_key", f"select 'orders' as t, cast({NEEDED} as integer) as key_size, count(*) as total_rows, count(*) as distinct_keys from @orders")
+def wide_key(t: Tables):
+    """A key that needs every one of up to thirteen columns of two values, beside two columns that follow from others."""
+    df = t.orders.select(*[F.expr(f"cast({e} as int)").alias(n) for n, e in BITS.items()], F.expr("cast(floor(o_orderkey / 2) + o_orderkey as int) % 2").alias("g0"), F.lit("x").alias("g1"))
+    return _sized(t, "orders", discovery.discover_key(df), df)
+
+
 CD = {f"cd_{i}": f"l_linenumber % {i + 2}" for i in range(10)}
 
 
@@ -818,8 +862,8 @@ def full_load(t: Tables):
     out = read("bronze").agg(n, price, fresh.alias("fresh")).select(F.lit("bronze").alias("layer"), "*")
     out = out.unionByName(read("silver").agg(n, price).select(F.lit("silver").alias("layer"), "*", zero))
     out = out.unionByName(read("runs").agg(n, F.count_if(F.col("watermark_start").isNotNull()).alias("fresh")).select(F.lit("runs").alias("layer"), "*", none))
-    for part in ("layers", "watermarks"):
-        out = out.unionByName(read(part).agg(n).select(F.lit(part).alias("layer"), "*", none, zero))
+    for part, rows in (("layers", read("layers")), ("watermarks", load.stored_watermarks(t.spark, place))):
+        out = out.unionByName(rows.agg(n).select(F.lit(part).alias("layer"), "*", none, zero))
     return out
 
 
