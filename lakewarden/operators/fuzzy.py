@@ -2,8 +2,9 @@
 
 Score = 0.5 * indel ratio + 0.3 * Jaccard of name tokens + 0.2 * common prefix share, accepted from a
 threshold that depends on the name's length. The threshold bounds each part from below, which gives
-exact candidate filters: a common prefix of known minimal length and a shared token out of the few
-rarest ones. Names are joined on both; no pair above the threshold is lost.
+exact candidate filters: a common prefix of known minimal length and ``TOGETHER`` shared tokens out of the few
+rarest ones. Names are joined on both; where they meet, the tokens they share and their lengths say how much of the budget
+is left for the prefix, which is compared as far as that. No pair above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ W_INDEL, W_JACCARD, W_PREFIX = 0.5, 0.3, 0.2
 THRESHOLDS = ((10, 0.95), (26, 0.90), (None, 0.85))
 CLEAR_GAP = 0.05
 _EPS = 1e-9
+TOGETHER = 3  # rare tokens that two names have to share at once, where they have to share that many
+WORD = 62  # characters whose matches fit a word of the common subsequence, with room for a carry
 
 
 def normal_name(name: Column, owner_prefixes: str | None = None) -> Column:
@@ -56,8 +59,8 @@ def prefix_share(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(common_prefix(a, b) / longest)
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one table row at a time over the characters of ``a``."""
+def _subsequence_by_rows(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, one table row at a time over the characters of ``a``; for any length."""
     width = F.length(b)
     start = F.array_repeat(F.lit(0), width + 1)
 
@@ -77,6 +80,35 @@ def common_subsequence(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (width == 0), F.lit(0)).otherwise(F.element_at(table, -1))
 
 
+def _subsequence_by_words(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence for ``a`` of at most WORD characters, a table row in one 64-bit word.
+
+    Bit i of the word is 0 where the row's length rises at character i of ``a``. A character of ``b`` moves the row on by an addition, whose
+    carries run through the gaps, and counting zeros gives the length.
+    """
+    letters = F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)))
+    shift = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    full = shift(F.length(a)) - 1
+
+    def moved(word: Column, ch: Column, chars: Column) -> Column:
+        marks = F.transform(chars, lambda x, i: F.when(x == ch, shift(i)).otherwise(F.lit(0).cast("bigint")))
+        match = F.aggregate(marks, F.lit(0).cast("bigint"), lambda m, v: m.bitwiseOR(v)).bitwiseAND(word)
+        return let(match, lambda u: (word + u).bitwiseOR(word - u).bitwiseAND(full))
+
+    def over(chars: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i, F.lit(1)))
+        return F.aggregate(steps, full, lambda word, ch: moved(word, ch, chars))
+
+    return F.length(a) - F.bit_count(let(letters, over))
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    found = F.when(F.length(short) <= WORD, _subsequence_by_words(short, long)).otherwise(_subsequence_by_rows(a, b))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(found)
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """2 * common subsequence / total length; equal empty texts give 1."""
     total = F.length(a) + F.length(b)
@@ -92,13 +124,22 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _combinations(ts: Column, k: Column) -> Column:
+    """The tokens one, two or three at a time (``k``), in their order, joined."""
+    after = lambda i: F.slice(ts, i + 2, F.size(ts))
+    pairs = lambda rest, x: F.transform(rest, lambda y: F.concat_ws("_", x, y))
+    two = F.flatten(F.transform(ts, lambda x, i: pairs(after(i), x)))
+    three = F.flatten(F.transform(ts, lambda x, i: F.flatten(F.transform(after(i), lambda y, j: pairs(F.slice(ts, i + j + 3, F.size(ts)), F.concat_ws("_", x, y))))))
+    return F.when(k == 1, ts).when(k == 2, two).otherwise(three)
+
+
 def _signatures(names: DataFrame, frequency: DataFrame, own: str, partner: str) -> DataFrame:
-    """Each name with tokens of which any partner within the threshold must share one, per partner size.
+    """Each name with the combinations of tokens of which any partner within the threshold must share one, per partner size.
 
     Sets of p and q tokens with Jaccard >= t have at least c = ceil(t / (1 + t) * (p + q)) tokens in
-    common, so the partner holds one of all but the last c - 1 tokens that the catalog knows, in any
-    common order of tokens. Rare tokens come first, which keeps the groups small. ``own`` and ``partner``
-    name the two set sizes, which are part of the key.
+    common. In any common order of tokens, the first k of them lie before the last c - k tokens of either name that the catalog
+    knows, so both names offer the combinations of k = TOGETHER (or c, if that is less) of their other tokens. Rare tokens come first, which
+    keeps the groups small. ``own`` and ``partner`` name the two set sizes, which are part of the key.
     """
     parts = names.withColumn(own, F.size(tokens(F.col("norm")))).withColumn("token", F.explode(tokens(F.col("norm"))))
     ordered = parts.join(frequency, "token", "inner").groupBy(*names.columns, own).agg(
@@ -108,8 +149,10 @@ def _signatures(names: DataFrame, frequency: DataFrame, own: str, partner: str)
     fewest, most = F.ceil(need * F.col(own) - _EPS).cast("int"), F.floor(F.col(own) / need + _EPS).cast("int")
     sized = ordered.withColumn(partner, F.explode(F.sequence(F.greatest(fewest, F.lit(1)), most)))
     common = F.ceil(need / (1.0 + need) * (F.col(own) + F.col(partner)) - _EPS).cast("int")
-    kept = sized.withColumn("keep", F.size("ts") - common + 1).filter("keep > 0")
-    return kept.select(*names.columns, own, partner, F.explode(F.slice("ts", F.lit(1), F.col("keep"))).alias("token"))
+    at_once = F.least(F.greatest(common, F.lit(1)), F.lit(TOGETHER))
+    kept = sized.withColumn("k", at_once).withColumn("keep", F.size("ts") - F.greatest(common, F.lit(1)) + F.col("k")).filter("keep >= k")
+    some = kept.withColumn("ts", F.slice("ts", F.lit(1), F.col("keep")))
+    return some.select(*names.columns, own, partner, F.explode(_combinations(F.col("ts"), F.col("k"))).alias("token"))
 
 
 def _shortest_head(cut: float, size: int) -> int:
@@ -134,22 +177,14 @@ def candidate_pairs(names: DataFrame, catalog: DataFrame) -> DataFrame:
     right = _signatures(offered, seen, "cat_size", "size").withColumn("head", F.substring(F.col("norm"), F.lit(1), head_size))
     right = right.select(F.col("norm").alias("cat_norm"), *keys)
     a, b = F.length("norm"), F.length("cat_norm")
-    # The three losses share one budget: what sizes and lengths cost at least is no longer there for the prefix.
+    # The three losses share one budget: what the lengths and the tokens that differ cost is no longer there for the prefix.
     indel_most = 2.0 * F.least(a, b) / (a + b)
-    jaccard_most = F.least("size", "cat_size") / F.greatest("size", "cat_size")
-    share_needed = (F.col("cut") - W_INDEL * indel_most - W_JACCARD * jaccard_most) / W_PREFIX
+    shared = jaccard(tokens(F.col("norm")), tokens(F.col("cat_norm")))
+    share_needed = (F.col("cut") - W_INDEL * indel_most - W_JACCARD * shared) / W_PREFIX
     need_head = F.ceil(share_needed * F.greatest(a, b) - _EPS).cast("int")
     same_head = F.substring(F.col("norm"), F.lit(1), need_head) == F.substring(F.col("cat_norm"), F.lit(1), need_head)
-    similar_size = share_needed <= 1.0 + _EPS
-    met = left.select("norm", *keys).join(right, keys, "inner").filter(similar_size & same_head).select("norm", "cat_norm", "cut")
-    # Scoring is heavy for few bytes, so the number of partitions follows the cores and not the data size; the
-    # distinct keeps this partitioning.
-    return met.repartition(_scoring_partitions(names), "norm", "cat_norm").distinct()
-
-
-def _scoring_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    similar = share_needed <= 1.0 + _EPS
+    return left.select("norm", *keys).join(right, keys, "inner").filter(similar & same_head).select("norm", "cat_norm", "cut").distinct()
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:

@@ -97,6 +97,27 @@ def test_indel_ratio(spark):
     assert round(r.a, 4) == 0.6154 and r.b == 1.0 and abs(r.c - score("a_b_c", "a_b_d")) < 1e-9
 
 
+def test_common_subsequence_of_any_length(spark):
+    """In 64-bit words up to 62 characters of the shorter text, by rows beyond."""
+    rnd = random.Random(4)
+    text_of = lambda n: "".join(rnd.choice("abcé_") for _ in range(n))
+    pairs = [(text_of(n), text_of(m)) for n in (1, 2, 31, 32, 61, 62, 63, 70) for m in (1, 5, 33, 62, 64, 90)] + [("", "a"), ("a", ""), ("", ""), ("a" * 62, "a" * 62)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    found = dict(map(tuple, got.select("i", fuzzy.common_subsequence(F.col("a"), F.col("b"))).collect()))
+    assert found == {i: lcs(a, b) for i, (a, b) in enumerate(pairs)}
+
+
+def test_candidates_follow_the_names(spark):
+    """Names over a product of parts: eight times the names, at most about as many candidates each."""
+    def mean(n):
+        parts = [f"{a}_{b}_brand_{i}_{k}" for i in range(n) for a in ("large", "small", "new", "hot") for b in ("gear", "bolt", "anvil") for k in ("economy", "promo")]
+        frame = lambda suffix: spark.createDataFrame([(p + suffix,) for p in parts], "norm string")
+        return fuzzy.candidate_pairs(frame("_x"), frame("")).count() / len(parts)
+
+    few, many = mean(10), mean(80)
+    assert 1 <= few and many <= 1.5 * few < 6
+
+
 def test_name_normalisation(spark):
     names = [" OWNER.CORE_ORDER__ITEMS_ ", "core_x", "a.Site_7_Staff", "T"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(fuzzy.normal_name(F.col("n")), fuzzy.normal_name(F.col("n"), r"core_|site_\d+_"))
