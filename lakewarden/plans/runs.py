@@ -245,10 +245,10 @@ def duration_baseline(runs: DataFrame, key: str) -> DataFrame:
     return nearest_rank_percentiles(ms, [key], "ms", {"p50_ms": 50, "p95_ms": 95, "p99_ms": 99}, width=60_000)
 
 
-def near_misses(runs: DataFrame, key: str, buffer_percent: float = 10) -> DataFrame:
-    """Runs far above their baseline."""
+def near_misses(runs: DataFrame, key: str, buffer_percent: float = 10, baseline: DataFrame | None = None) -> DataFrame:
+    """Runs far above their baseline, which is computed from the runs or given (key, p95_ms, sample_size)."""
     timed = runs.withColumn("duration_ms", duration_ms())
-    base = duration_baseline(runs, key).select(key, "p95_ms", "sample_size")
+    base = (duration_baseline(runs, key) if baseline is None else baseline).select(key, "p95_ms", "sample_size")
     return lookup(timed, base, [key]).withColumn(
         "near_miss", health.near_miss(F.col("duration_ms"), F.col("p95_ms"), F.col("sample_size"), buffer_percent)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import health
 from ..operators import keyed
-from ..plans import business, jobs, queue, registry, runs
+from ..plans import business, daily, jobs, queue, registry, runs
 from . import query
 from .tables import Tables
 
@@ -300,6 +300,26 @@ def claim_latency_sketch(t: Tables):
     return long.join(exact, "wait").select("measure", F.col("ms").between(low, high).alias("within"))
 
 
+def _stored(t: Tables, rows, keys: list[str], at: str, value: str):
+    """Daily sketches written to a table and read back."""
+    import uuid
+
+    table = f"lakewarden_sketches_{uuid.uuid4().hex}"
+    daily.store(daily.sketches(rows, keys, at, value), table, f"{t.scratch}/tables")
+    return t.spark.table(table)
+
+
+@query("claim_latency_days", "select 'to_claim_ms' as wait, true as p50_within, true as p95_within, count(*) filter (requested_at is not null and claimed_at is not null) as sample_size from queue union all select 'to_running_ms', true, true, count(*) filter (requested_at is not null and claimed_at is not null and started_at is not null) from queue")
+def claim_latency_days(t: Tables):
+    """Latency from stored days: each percentile lies between the exact ones its stated error in ranks lower and higher."""
+    waits = queue.wait_times(t.queue).unpivot(["requested_at"], list(queue.WAITS), "wait", "ms")
+    guess = daily.percentiles(daily.merged(_stored(t, waits, ["wait"], "requested_at", "ms"), ["wait"]), ["wait"], {"p50": 50, "p95": 95})
+    off = 100 * daily.RANK_ERROR * 2
+    exact = keyed.nearest_rank_percentiles(waits.select("wait", "ms"), ["wait"], "ms", {f"{side}{p}": p + s * off for p in (50, 95) for side, s in (("lo", -1), ("hi", 1))}, width=1000)
+    within = [F.col(f"p{p}").between(F.col(f"lo{p}"), F.col(f"hi{p}")).alias(f"p{p}_within") for p in (50, 95)]
+    return guess.join(exact.drop("sample_size"), "wait").select("wait", *within, "sample_size")
+
+
 @query(
     "transition_timeline",
     """select date_trunc('minute', created_at) as ts_min, count(*) filter (new_status = 'CLAIMED') as claims, count(*) filter (new_status = 'RUNNING') as starts,
@@ -652,6 +672,28 @@ def near_misses(t: Tables):
     return runs.near_misses(t.runs, "job_id", 5).select("run_id", "duration_ms", "p95_ms", "near_miss")
 
 
+@query("duration_baseline_days", f"select * from {BASE} s")
+def duration_baseline_days(t: Tables):
+    """Exact baselines whose ranks are sought only where the merged days say they lie."""
+    return _baseline_days(t)
+
+
+def _baseline_days(t: Tables):
+    timed = t.runs.select("job_id", "started_at", runs.duration_ms().alias("ms")).filter("ms > 0")
+    window = daily.merged(_stored(t, timed, ["job_id"], "started_at", "ms"), ["job_id"])
+    return daily.exact_percentiles(timed.select("job_id", "ms"), window, ["job_id"], "ms", {"p50_ms": 50, "p95_ms": 95, "p99_ms": 99}, 60_000)
+
+
+@query(
+    "near_misses_days",
+    f"""select r.run_id, {MS} as duration_ms, b.p95_ms, coalesce(b.sample_size >= 10 and {MS} > b.p95_ms * 1.05, false) as near_miss
+        from runs r left join {BASE} b on b.job_id = r.job_id""",
+)
+def near_misses_days(t: Tables):
+    """Near misses against baselines from stored days."""
+    return runs.near_misses(t.runs, "job_id", 5, _baseline_days(t)).select("run_id", "duration_ms", "p95_ms", "near_miss")
+
+
 STATES = ("PENDING", "RUNNING", "TERMINATING", "TERMINATED", "SKIPPED", "INTERNAL_ERROR", "UNKNOWN")
 
 
