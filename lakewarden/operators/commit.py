@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .layout import z_ordered
 from .writes import clustered, compaction_due
 
 PLAIN = "[A-Za-z0-9_.-]+"  # partition values that statements and folders spell alike
@@ -183,11 +184,12 @@ def compact(
     table: str, keys: list[str], root: str, spark: SparkSession, merges_since: int | None = None,
     threshold: int | None = None, last_done=None, partitions: int | None = None,
 ) -> bool:
-    """Rewrite a table, or each of its partitions, in key order when due; the caller resets its merge counter on True."""
+    """Rewrite a table, or each of its partitions, in key order (space-filling for several keys) when due; the caller resets its
+    merge counter on True."""
     if not compaction_due(merges_since, threshold, last_done):
         return False
     state = spark.table(table)
-    rows = clustered(state, keys, partitions) if keys else state.hint("rebalance")
+    rows = state.hint("rebalance") if not keys else clustered(state, keys, partitions) if len(keys) == 1 else z_ordered(state, keys, partitions)
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     if len(parts) > 1:
         raise ValueError("Tables with several partition columns are compacted by their table format")

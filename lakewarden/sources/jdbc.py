@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.incremental import cutoff_text
+from ..operators.layout import read_predicates
 
 # Fetch size and the schemas known from name prefixes.
 FETCH_SIZE = 10_000
@@ -86,6 +87,15 @@ def bounds(spark: SparkSession, conn: JdbcConnection, table: str, column: str, p
     return Split(column, None if row[0] is None else int(row[0]), None if row[1] is None else int(row[1]), partitions)
 
 
+def read_balanced(spark: SparkSession, conn: JdbcConnection, table: str, column: str, bounds: list, fetch_size: int = FETCH_SIZE) -> DataFrame:
+    """A parallel read cut at quantiles of a column, known from an earlier load of the table (``layout.quantile_bounds``): each
+    reader gets about as many rows, however skewed the column is, and every row, NULLs too, comes once."""
+    properties = {"driver": conn.driver, "fetchsize": str(fetch_size), **{k: str(v) for k, v in conn.options.items()}}
+    if conn.user is not None:
+        properties |= {"user": conn.user, "password": conn.password or ""}
+    return spark.read.jdbc(conn.url, table, predicates=read_predicates(column, bounds), properties=properties)
+
+
 def read_since(
     spark: SparkSession, conn: JdbcConnection, table: str, column: str, watermark: str | None, lookback_days: int = 3,
     split: Split | None = None,

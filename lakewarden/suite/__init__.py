@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import expressions, ingest, loads, names, operations, reconciled, streams  # noqa: F401
+    from . import expressions, ingest, layouts, loads, names, operations, reconciled, streams  # noqa: F401
