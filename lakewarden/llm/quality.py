@@ -5,8 +5,8 @@ overlapping chunks (``CHUNK`` bytes, every ``STEP`` bytes); a document's feature
 its chunks, which one logistic unit combines into a probability. A filter is a table of byte weights per position,
 so a response is a sum of WIDTH look-ups.
 
-Trained by Adam on a bounded sample of labelled rows outside the held-out fold; scoring runs in tasks on whole texts,
-in slices of bounded memory.
+Trained by Adam on a sample of labelled rows outside the held-out fold, bounded in rows (``SAMPLE``), one per id; scoring runs in
+tasks. Both take whole texts, in slices of bounded memory.
 
 Defined results: null and empty texts are one chunk of zero bytes. Texts shorter than a filter are padded with zero bytes.
 Rows with null ids are scored and are not held out. Without labelled rows every score is 0.5. Repeated rows score
@@ -28,7 +28,6 @@ from .common import held_out, training_sample, whole_text
 SAMPLE = 2000  # labelled rows that the network is fitted on
 FILTERS, WIDTH, STEP, CHUNK = 8, 5, 256, 512  # CHUNK is two STEPs, so that neighbours overlap by half
 EPOCHS, RATE, SEED = 4, 0.03, 11
-LONG, PARTS, PART = 65_536, 16, 4_096  # in training only, a text of over LONG characters is PARTS evenly spaced pieces of PART
 SLICE = 1 << 18  # bytes whose responses are held at once; a multiple of STEP
 
 
@@ -77,15 +76,26 @@ def score(net: Network, text: str | None) -> float:
     return 1 / (1 + float(np.exp(-np.clip(x, -30, 30))))
 
 
+def _peaks(net: Network, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the largest response of each run of STEP positions, slice by slice."""
+    spots, values = [], []
+    for at in range(0, len(raw) - WIDTH + 1, SLICE):
+        part = responses(net, raw[at : at + SLICE + WIDTH - 1])
+        for s in range(0, len(part), STEP):
+            run = part[s : s + STEP]
+            best = run.argmax(0)
+            spots.append(best + (at + s))
+            values.append(run[best, np.arange(FILTERS)])
+    return np.stack(spots), np.stack(values)
+
+
 def _gradient(net: Network, raw: np.ndarray, y: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    resp = responses(net, raw)
-    starts = np.arange(0, len(resp), STEP)
-    spots = np.stack([resp[s : s + STEP].argmax(0) + s for s in starts])  # positions of the largest responses
+    spots, values = _peaks(net, raw)
     col = np.arange(FILTERS)
-    if len(starts) > 1:
-        left, right = spots[:-1], spots[1:]
-        spots = np.where(resp[left, col] >= resp[right, col], left, right)
-    raw_pool = resp[spots, col] + net.bias
+    if len(spots) > 1:
+        first = values[:-1] >= values[1:]
+        spots, values = np.where(first, spots[:-1], spots[1:]), np.where(first, values[:-1], values[1:])
+    raw_pool = values + net.bias
     pooled, top = np.maximum(raw_pool, 0), raw_pool.argmax(0)
     x = np.concatenate([pooled.mean(0), pooled.max(0), [1.0]])
     off = 1 / (1 + np.exp(-np.clip(x @ net.unit, -30, 30))) - y
@@ -127,13 +137,12 @@ def train(texts: list[str], labels: list[float]) -> Network:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Network:
     """A network fitted to about ``sample`` labelled rows at most, which the driver holds, in the order of their ids.
 
-    What the driver holds is bounded in bytes as well: of very long texts in the sample, evenly spaced pieces are taken.
-    Scoring reads every text whole.
+    Of the rows that repeat an id one is taken, the first by a hash of its text, so that the sample is bounded in rows. Texts are
+    whole, as they are in scoring; slices bound the memory that a long one takes beside itself.
     """
-    size = F.length("text")
-    spaced = F.concat(*[F.substring("text", F.floor(size * i / PARTS).cast("int") + 1, F.lit(PART)) for i in range(PARTS)])
     rows = training_sample(docs, labels, label, sample)
-    rows = rows.withColumn("text", F.when(size > LONG, spaced).otherwise(F.col("text"))).toPandas().sort_values(["doc_id", "text"])
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), rows["label"].astype(float).tolist())
 
 
