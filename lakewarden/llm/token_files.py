@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -40,7 +41,8 @@ from .common import pieces, shared_folder, whole_text
 END_ID = 1
 FRAME_IDS = 1 << 20
 LEVEL = 1
-KNOWN = 400_000  # chunks whose ids a Python worker remembers before it starts afresh
+RUN = 1 << 22  # characters of texts whose chunks are numbered at once
+KNOWN = 150_000  # chunks whose ids a Python worker remembers per generation, of which it holds two
 INDEX_MAGIC, SEEK_MAGIC, TAIL_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
@@ -67,6 +69,7 @@ class Encoder:
             self.ends = np.zeros(max(size, self.tokenizer.get_vocab_size()), dtype=bool)
             self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -91,40 +94,68 @@ class Encoder:
             self.stems.update(zip(run, found))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > KNOWN:
-            self.known = {}
+        """Add the ids of chunks: letters and the signs after them are encoded apart, and only where they are new."""
         if len(self.stems) > KNOWN:
             self.stems = {}
-        cut = {}
+        stems, known = self.stems, self.known
+        cut, rest, words, signs = [], [], set(), set()
         for chunk in chunks:
             stem = chunk.rstrip(b".,!#$%&*|")
-            if stem.isalpha() and stem.isascii():
-                cut[chunk] = (stem.lower(), chunk[len(stem) :])
-        wanted = {part for pair in cut.values() for part in pair if part and part not in self.stems}
-        words = sorted(w for w in wanted if w.isalpha())
-        self._learn_stems(words)
-        signs = sorted(wanted - set(words))
-        self.stems.update(zip(signs, self._whole([s.decode() for s in signs])))
-        rest = [c for c in chunks if c not in cut]
-        self.known.update(zip(rest, self._whole([c.decode() for c in rest])))
-        self.known.update((c, self.stems[a] + (self.stems[b] if b else b"")) for c, (a, b) in cut.items())
+            tail = chunk[len(stem) :]
+            if stem.isalpha():
+                stem = stem.lower()
+            elif stem.isascii() or not stem.decode().isalpha():
+                rest.append(chunk)
+                continue
+            cut.append((chunk, stem, tail))
+            if stem not in stems:
+                words.add(stem)
+            if tail and tail not in stems:
+                signs.add(tail)
+        self._learn_stems(list(words))
+        stems.update(zip(signs, self._whole([s.decode() for s in signs])))
+        known.update(zip(rest, self._whole([c.decode() for c in rest])))
+        for chunk, stem, tail in cut:
+            known[chunk] = stems[stem] + stems[tail] if tail else stems[stem]
+
+    def _assembled(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of texts by their chunks: cut and numbered as Arrow columns, looked up once per distinct chunk."""
+        cut = pc.ascii_split_whitespace(pa.array(raws, pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        distinct = _byte_strings(coded.dictionary)
+        found = list(map(self.known.get, distinct))
+        lacking = [c for c, ids in zip(distinct, found) if ids is None]
+        again = {c: ids for c in lacking if (ids := self.before.get(c)) is not None}
+        self.known.update(again)
+        self._learn([c for c in lacking if c not in again] if again else lacking)
+        found = [self.known[c] if ids is None else ids for c, ids in zip(distinct, found)]
+        if len(self.known) > KNOWN:  # what is seen again moves on to the next generation
+            self.before, self.known = self.known, {}
+        offsets = np.zeros(len(found) + 1, dtype="<i8")
+        np.cumsum(np.fromiter(map(len, found), dtype="<i8", count=len(found)) // 4, out=offsets[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        ids = lists.take(coded.indices)
+        ends = ids.offsets.to_numpy()[cut.offsets.to_numpy()]
+        flat = ids.values.to_numpy()
+        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for run in pieces(texts, 1 << 20):
+        for run in pieces(texts, RUN):
             raws = [t.encode("utf-8", "replace") if self.by_chunk and not self.special.search(t) else None for t in run]
-            split = [None if r is None else (r.lower() if r.isascii() else r).split() for r in raws]
-            new = {c for s in split if s for c in s if c not in self.known}
-            if len(self.known) + len(new) > KNOWN:  # _learn starts afresh, so all of this run's chunks are needed
-                new = {c for s in split if s for c in s}
-            self._learn(sorted(new))
-            get = self.known.__getitem__
-            for text, s in zip(run, split):
-                out.append(self._whole([text])[0] if s is None else b"".join(map(get, s)))
+            ids = iter(self._assembled([r.lower() if r.isascii() else r for r in raws if r is not None]))
+            out += [self._whole([t])[0] if r is None else next(ids) for t, r in zip(run, raws)]
         return out
 
 
+def _byte_strings(texts: pa.Array) -> list[bytes]:
+    """The values of a string array without nulls, cut from its buffer."""
+    ends = np.frombuffer(texts.buffers()[1], dtype="<i8")[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = texts.buffers()[2].to_pybytes() if texts.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 _encoders: dict[int, Encoder] = {}  # one per Python worker and vocabulary, so that later tasks find its memory filled
 
 
