@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.llm import exact_dedup, fixity, licenses, pii, quality, sentencepieces, simhash, templates, token_files, toxicity
+from lakewarden.llm import exact_dedup, fixity, jaccard, licenses, pii, quality, ranking, sentencepieces, simhash, spelling, templates, token_files, toxicity
 from lakewarden.llm.common import importable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, fp long, _dedup_sha string, score double, component_id long"
@@ -43,6 +43,10 @@ ALL = {
     "survivors": (lambda s, d: exact_dedup.survivors(d), 5),
     "near copies": (lambda s, d: simhash.near_duplicates(d), len(ROWS)),
     "representatives": (lambda s, d: simhash.representatives(d), 4),
+    "shingle sets": (lambda s, d: jaccard.near_duplicates(d), len(ROWS)),
+    "spelling": (lambda s, d: spelling.variants(d), 3),
+    "search": (lambda s, d: ranking.search(d, bench(s)), 3),
+    "search without items": (lambda s, d: ranking.search(d, bench(s, ())), 0),
 }
 
 
