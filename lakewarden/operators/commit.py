@@ -75,17 +75,22 @@ def _add_columns(df: DataFrame, table: str) -> None:
 def commit_snapshot(df: DataFrame, table: str, root: str, fmt: str = "parquet", highest: str | None = None, reads_table: bool = True) -> Written:
     """Make ``df`` the whole content of a table without partitions; a new table gets a folder below ``root``.
 
-    ``reads_table`` says that ``df`` may be computed from the table, which is then staged first. Another schema replaces the table's.
+    ``reads_table`` says that ``df`` may be computed from the table, which is then staged first. With another schema the new table is
+    complete under a name of its own before the names are changed, so a failure loses neither.
     """
     spark = df.sparkSession
     exists = spark.catalog.tableExists(table)
-    if exists and reads_table:
-        df = settle(df)
-    rows, seen = _observed(df, highest, None)
-    if exists and spark.table(table).dtypes == df.dtypes:
+    same = exists and spark.table(table).dtypes == df.dtypes
+    rows, seen = _observed(settle(df) if same and reads_table else df, highest, None)
+    if same:
         rows.write.insertInto(table, overwrite=True)
     else:
-        rows.write.format(fmt).mode("overwrite").option("path", _location(table, root)).saveAsTable(table)
+        name = f"{table}__{uuid.uuid4().hex}" if exists else table
+        rows.write.format(fmt).option("path", _location(table, root)).saveAsTable(name)
+        if exists:
+            spark.sql(f"ALTER TABLE {table} RENAME TO {name}_old")
+            spark.sql(f"ALTER TABLE {name} RENAME TO {table}")
+            spark.sql(f"DROP TABLE {name}_old")
     spark.catalog.refreshTable(table)
     return _written(seen)
 
