@@ -45,7 +45,7 @@ ALL = {
     "representatives": (lambda s, d: simhash.representatives(d), 4),
     "shingle sets": (lambda s, d: jaccard.near_duplicates(d), len(ROWS)),
     "spelling": (lambda s, d: spelling.variants(d), 2),
-    "search": (lambda s, d: ranking.search(d, bench(s)), 3),
+    "search": (lambda s, d: ranking.search(d, bench(s)), 6),
     "search without items": (lambda s, d: ranking.search(d, bench(s, ())), 0),
 }
 
