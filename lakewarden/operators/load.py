@@ -108,9 +108,9 @@ def dataset_state(spark: SparkSession, place: Place, dataset_id: str) -> Dataset
     """Whether silver waits for an approval (bronze never does), and the merges since the last compaction."""
     of = events(spark, place, dataset_id)
     when = lambda *names: F.when(F.col("event").isin(*names), F.struct("at", "event"))
-    last = of.agg(F.max(when(BLOCKED, ACTIVE)).alias("state"), F.max(when(COMPACTED)).alias("done"))
-    merges = of.filter(F.col("event") == MERGED).join(last, F.lit(True), "left").filter(F.col("done").isNull() | (F.col("at") > F.col("done.at")))
-    got, since = last.first(), merges.count()
+    got = of.agg(F.max(when(BLOCKED, ACTIVE)).alias("state"), F.max(when(COMPACTED)).alias("done")).first()
+    merges = of.filter(F.col("event") == MERGED)
+    since = (merges.filter(F.col("at") > F.lit(got.done.at)) if got.done else merges).count()
     return DatasetState(got.state.event if got.state else ACTIVE, got.done.at if got.done else None, since)
 
 

@@ -94,9 +94,9 @@ def load_gate(t: Tables):
         gate = t.spark.range(1).select(F.lit("orders").alias("dataset_id"), F.lit(allowed).alias("silver_allowed"))
         load.run_load(_by_year(rows), at, CURRENT, run, now, ORDERS, gate, compact_after=None)
         if run != "r1":
-            state, n = load.dataset_state(t.spark, at, "orders").execution_state, F.count(F.lit(1))
-            seen = t.spark.createDataFrame(t.spark.table(at.silver).agg(n.alias("silver_rows")).collect(), "silver_rows bigint")  # as it is after this run
-            out.append(t.spark.table(at.bronze).agg(n.alias("bronze_rows")).select(F.lit(run).alias("after_run"), F.lit(state).alias("execution_state"), "bronze_rows").crossJoin(F.broadcast(seen)))
+            state, seen = load.dataset_state(t.spark, at, "orders").execution_state, t.spark.table(at.silver).count()  # as it is after this run
+            counts = t.spark.table(at.bronze).agg(F.count(F.lit(1)).alias("bronze_rows"))
+            out.append(counts.select(F.lit(run).alias("after_run"), F.lit(state).alias("execution_state"), "bronze_rows", F.lit(seen).cast("bigint").alias("silver_rows")))
     return out[0].unionByName(out[1])
 
 
