@@ -70,3 +70,14 @@ def test_each_row_meets_one_condition(spark, values):
     assert sum(parts) == len(values) and len(conditions) <= 6
     if len(values) > 300:
         assert max(parts) * len(parts) <= 2 * len(values)
+
+
+@pytest.mark.parametrize("first", [1, 9_000_000])
+def test_balanced_read_of_large_keys(spark, tmp_path, first):
+    """The cubes of keys above 2,097,151 are larger than any bigint; their order is kept."""
+    from lakewarden.suite import layouts
+    from lakewarden.suite.tables import Tables
+
+    spark.range(first, first + 2000).select(F.col("id").alias("l_orderkey")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = layouts.balanced_read(Tables(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in got] == [(8, True, 2000, 2000, True)]
