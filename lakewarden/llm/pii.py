@@ -3,10 +3,11 @@
 Base spans come from the formats of e-mail addresses, IPv4 addresses, card numbers and phone numbers with their checks.
 Wider generators propose further spans, which may overlap: addresses written with (at) or without a domain ending,
 dotted numbers of any length, digit groups with other separators, phone numbers without a plus sign. Each candidate
-gets features of its format and of its surroundings. Trees are boosted on a bounded sample of candidates: those that hold a
+gets features of its format and of its surroundings. Trees are boosted on all candidates, counted by their features so that
+equal ones are one row with a weight: those that hold a
 base span of their kind are positive, those that break a rule of the kind (digits, check digit, octets, an ending, letters
 right beside them, another kind's base span in their place) are negative, and the rest is unlabelled and left out. The
-features do not name the format's literal signs, so that other spellings of the same thing score high. Per kind, the lowest threshold at which the held-out half of the sample reaches ``PRECISION`` is taken.
+features do not name the format's literal signs, so that other spellings of the same thing score high. Per kind, the lowest threshold at which the held-out half of the candidates reaches ``PRECISION`` is taken.
 Chosen candidates that do not overlap base spans or better candidates are added to the base spans.
 
 All of it is expressions: matches are split and extracted by possessive patterns, which need neither backtracking
@@ -20,6 +21,8 @@ candidates of both labels no tree is grown and only base spans are reported. Tex
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, whole_text
 
-SAMPLE = 20_000  # candidates that the trees are grown on
 TREES, DEPTH, SEED = 8, 3, 7
+BINS = 32  # of a feature, at least
 PRECISION = 0.98
 KINDS = ("email", "ip", "card", "phone")
 
@@ -144,8 +147,8 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` candidates with label (a base span of the kind lies in it) and fold, picked by hash; all if fewer."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """All candidates with label (a base span of the kind lies in it) and fold (by hash): how many (n) of each have the same features."""
 
     def labelled(kind: str) -> DataFrame:
         """The labels are set inside the array: an exploded row carries its candidate and nothing of its document."""
@@ -163,9 +166,8 @@ def _sampled(rows: DataFrame, most: int) -> DataFrame:
     found = labelled(KINDS[0])
     for kind in KINDS[1:]:
         found = found.union(labelled(kind))
-    total = found.count()
-    part = int(min(1.0, most / max(total, 1)) * 2**31)
-    return staged(found.filter(F.pmod("mark", F.lit(2**31)) < part).withColumn("fold", F.pmod(F.shiftright("mark", 32), F.lit(2))), "pii")
+    folded = found.withColumn("fold", F.pmod(F.shiftright("mark", 32), F.lit(2)))
+    return staged(folded.groupBy("fold", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")), "pii")
 
 
 def _tree(node, x: Column) -> Column:
@@ -188,20 +190,21 @@ class Model:
         return 1 / (1 + F.exp(-2 * margin))
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model | None:
-    """Trees from one half of the sampled candidates, thresholds from the other; None without both labels."""
-    seen = _sampled(rows, sample)
+def fit(rows: DataFrame, precision: float = PRECISION) -> Model | None:
+    """Trees from one half of the candidates, thresholds from the other; None without both labels."""
+    seen = _counted(rows)
     half = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen.filter("fold = 0"))
     if half.select("label").distinct().count() < 2:
         return None
-    boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1).fit(half)
+    bins = max(BINS, isqrt(half.count()) + 1)  # with as many squared as rows, the splits too are found on all of them
+    boosted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=SEED, stepSize=0.3, checkpointInterval=-1, weightCol="n").fit(half)
     roots = [t._call_java("rootNode") for t in boosted.trees]
     model = Model(roots, [float(w) for w in boosted.treeWeights], {})
     x = F.struct(*[F.col(f) for f in FEATURES])
-    scored = seen.filter("fold = 1").select("label", "kind", x.alias("x")).select("label", "kind", F.floor(model.score(F.col("x")) * 50).alias("bin"))
-    bins = scored.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
+    scored = seen.filter("fold = 1").select("label", "kind", "n", x.alias("x")).select("label", "kind", "n", F.floor(model.score(F.col("x")) * 50).alias("bin"))
+    scores = scored.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
     for i, kind in enumerate(KINDS):
-        own, n, good = sorted((r for r in bins if r["kind"] == i), key=lambda r: -r["bin"]), 0, 0.0
+        own, n, good = sorted((r for r in scores if r["kind"] == i), key=lambda r: -r["bin"]), 0.0, 0.0
         for r in own:
             n, good = n + r["n"], good + r["good"]
             if r["bin"] >= 25 and good / n >= precision:

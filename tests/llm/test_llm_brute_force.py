@@ -335,6 +335,19 @@ def test_trees_add_other_spellings(spark):
     assert all(got[i].n_phone == 0 for i in range(300, 320)) and sum(got[i].n_added for i in range(300)) == 0
 
 
+def test_trees_learn_from_every_candidate(spark, monkeypatch):
+    """21,000 addresses and 1,000 dotted numbers: more than a fixed number of rows would hold; equal ones are one row with a weight."""
+    rows = [" ".join(["mail bob@mail.example.com now"] * 70 + [f"or 3.{i % 5}"] * (4 if i < 250 else 0)) for i in range(300)]
+    fitted, plain = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: fitted.append((self.getOrDefault("weightCol"), df)) or plain(self, df))
+    found = pii.candidates(as_docs(spark, rows))
+    assert pii.fit(found) is not None
+    counted = pii._counted(found)
+    assert {(r.kind, r.label): r.n for r in counted.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()} == {(0, 1): 21_000, (1, 0): 1000}
+    [(weight, df)] = fitted
+    assert df.agg(F.sum(weight)).first()[0] == counted.filter("fold = 0").agg(F.sum("n")).first()[0] > 10_000 and df.count() < 50
+
+
 # --- 6 pieces ---------------------------------------------------------------------------------------
 
 
