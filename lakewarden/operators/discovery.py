@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,13 +111,19 @@ def distinct_estimate(value: Column) -> Column:
 def column_profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """Rows, distinct values and NULLs per column in one pass, with the watermark fitness test.
 
-    Sketches keep the pass free of a shuffle of values; ``exact`` is for small tables.
+    Sketches keep the pass free of a shuffle of values. With ``exact`` each column's values are counted by a scan of that column
+    alone: in one pass every row would be repeated per column. Stage a table that is expensive to compute first.
     """
-    count = F.count_distinct if exact else distinct_estimate
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in columns:
-        aggs += [count(F.col(f"`{c}`")).alias(f"d_{c}"), F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{c}")]
+        aggs.append(F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{c}"))
+        if not exact:
+            aggs.append(distinct_estimate(F.col(f"`{c}`")).alias(f"d_{c}"))
     one = df.agg(*aggs)
+    if exact and columns:
+        each = [df.agg(F.count_distinct(F.col(f"`{c}`")).alias("d")).select(F.lit(i).alias("i"), "d") for i, c in enumerate(columns)]
+        counts = reduce(DataFrame.union, each).agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d_{c}") for i, c in enumerate(columns)])
+        one = one.crossJoin(counts)
     return _profile_rows(one, columns, 1)
 
 

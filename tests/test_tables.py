@@ -415,3 +415,11 @@ def test_null_keys_fail_a_first_silver_load(spark):
         writes.silver_state(None, nulls, spec)[1].collect()
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
     assert writes.silver_state(None, twice, spec)[1].count() == 1
+
+
+def test_exact_profile_does_not_repeat_rows_per_column(spark):
+    df = spark.createDataFrame([(1, "x", None), (1, None, 0.0), (2, "y", -0.0), (None, "y", 1.5)], "a int, b string, c double")
+    exact = discovery.column_profile(df, df.columns, exact=True)
+    assert "Expand" not in exact._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:4] for r in exact.collect()] == [("a", 4, 2, 1), ("b", 4, 2, 1), ("c", 4, 2, 1)]
+    assert discovery.column_profile(df.limit(0), ["a"], exact=True).collect()[0].distinct_values == 0
