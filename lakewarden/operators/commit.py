@@ -114,18 +114,19 @@ def commit_append(df: DataFrame, table: str, root: str, fmt: str = "parquet", hi
 
 def commit_partitions(
     df: DataFrame, table: str, root: str, partition: str, touched: list | None = None, fmt: str = "parquet", whole: bool = False,
-    highest: str | None = None, plain: bool = False,
+    highest: str | None = None, plain: bool = False, checked: DataFrame | None = None,
 ) -> Written:
     """Replace whole partitions of a table by dynamic overwrite, creating the table on first use.
 
     The partitions among the rows of ``df`` are replaced. ``touched`` names the partitions the state was computed for, ``whole``
     says that it is the state of the whole table: those that ended up without rows are dropped. Partition
     values, not rows, come to the driver. ``df`` may read the table. Values are checked first unless the caller knows them
-    to be ``plain``; of rows kept from the table the check reads partition names only.
+    to be ``plain``; of rows kept from the table the check reads partition names only. A caller whose ``df`` is expensive gives
+    rows with the same partitions as ``checked``.
     """
     spark = df.sparkSession
     if not plain:
-        odd = df.select(F.col(partition).cast("string").alias("value")).filter(~F.coalesce(F.col("value").rlike(f"^{PLAIN}$"), F.lit(False)))
+        odd = (df if checked is None else checked).select(F.col(partition).cast("string").alias("value")).filter(~F.coalesce(F.col("value").rlike(f"^{PLAIN}$"), F.lit(False)))
         if found := [r.value for r in odd.limit(3).collect()]:
             raise ValueError(f"Partition values must be plain and not NULL: {found}")
     if not spark.catalog.tableExists(table):

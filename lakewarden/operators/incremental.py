@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ntz, settle, shift
+from ..session import ntz, shift
+from ..session import stage as staged
 from . import writes
 from .bronze import add_full_refresh_columns, add_technical_columns, clean_names
 from .contract import Contract, cast_to_contract
@@ -228,7 +229,7 @@ def load_bronze(
 ) -> BronzeLoad:
     """Plan one bronze load.
 
-    With ``stage`` the increment is read once into the checkpoint folder, so that counting, measuring and
+    With ``stage`` the increment is read once into the shared folder, so that counting, measuring and
     merging see the same rows even when the source changes meanwhile or an executor is lost; leave it out
     for sources that do not change. Full loads use each row once and are neither staged nor counted: the write observes
     them. An append with a watermark reads strictly above the stored one, as it can't absorb rows that it has already; rows
@@ -252,7 +253,7 @@ def load_bronze(
     if plan.operation == "MERGE" and watermark and cfg.watermark:
         newer = has_newer(source, cfg.watermark, watermark)
     if stage:
-        increment = settle(increment)
+        increment = staged(increment)
     stats = [F.count(F.lit(1)).alias("rows")]
     if cfg.watermark and cfg.watermark in increment.columns:
         stats.append(F.max(cfg.watermark).cast("string").alias("mark"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import stage
 from . import commit, keyindex
 from .writes import one_per_key, require_keys
 
@@ -46,7 +46,7 @@ def actions(
     side = stored.select(
         *[F.col(f"`{k}`") for k in keys], F.lit(True).alias("_known"),
         (F.col(f"`{hash_column}`") if hash_column else null).alias("_hash"),
-        (F.col(f"`{newest}`") if newest else null).alias("_at"), (F.col(f"`{partition}`") if partition else null).alias("_held"),
+        (F.col(f"`{newest}`") if newest else null).alias("_at"), (F.col(f"`{partition}`") if partition else null.cast("string")).alias("_held"),
     )
     action = F.when(F.col("_known").isNull(), F.lit("INSERT"))
     if hash_column:
@@ -69,7 +69,7 @@ def merge(
     fresh = one_per_key(require_keys(rows, keys), keys, order_column)
     exists = spark.catalog.tableExists(table)
     if not exists:
-        fresh = settle(fresh)
+        fresh = stage(fresh)
         if partition:
             keyindex.record(fresh, table, root, keys, partition)
             done = commit.commit_partitions(fresh, table, root, partition)
@@ -82,14 +82,16 @@ def merge(
             keyindex.rebuilt(spark, table, root, keys, partition)
         read = keyindex.candidate_partitions(spark, table, rows, keys, partition)
         target = target.filter(F.col(partition).isin(read))
-    decided = settle(actions(fresh, target, keys, hash_column, order_column if newest else None, partition))
+    decided = stage(actions(fresh, target, keys, hash_column, order_column if newest else None, partition))
     counts: dict[str, int] = {}
     touched = set()
     for r in decided.groupBy("_action", "_held").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per action and partition
         counts[r["_action"]] = counts.get(r["_action"], 0) + r["n"]
         if r["_action"] == "UPDATE":
             touched.add(r["_held"])
-    changes = decided.filter(F.col("_action").isin("INSERT", "UPDATE")).select(*[F.col(f"`{c}`") for c in columns]).dropDuplicates(keys)
+    changes = decided.filter(F.col("_action").isin("INSERT", "UPDATE")).select(*[F.col(f"`{c}`") for c in columns])
+    if not changes.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        changes = stage(changes.dropDuplicates(keys))  # the table holds a key more than once
     out = dict(inserted=counts.get("INSERT", 0), updated=counts.get("UPDATE", 0), unchanged=counts.get("UNCHANGED", 0), late=counts.get("LATE", 0))
     if not out["inserted"] + out["updated"]:
         return Merged(**out, changes=changes, read=tuple(read))
@@ -100,7 +102,8 @@ def merge(
     state = kept.join(changes.select(*[F.col(f"`{k}`") for k in keys]), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
     if partition:
         keyindex.record(changes, table, root, keys, partition)
-        commit.commit_partitions(state, table, root, partition, touched=sorted(touched))
+        held = decided.filter("_action = 'UPDATE'").select(F.col("_held").alias(partition))
+        commit.commit_partitions(state, table, root, partition, touched=sorted(touched), checked=changes.select(partition).union(held))
     else:
         commit.commit_snapshot(state, table, root)
     return Merged(**out, changes=changes, read=tuple(read), written=tuple(sorted(touched)) if partition else ())
@@ -113,7 +116,7 @@ def replace_window(rows: DataFrame, table: str, root: str, column: str, cutoff,
     """
     from .writes import replace_window as replaced
 
-    spark, rows = rows.sparkSession, settle(rows)
+    spark, rows = rows.sparkSession, stage(rows)
     target = spark.table(table)
     inside = target.filter(F.col(column) >= cutoff).groupBy(F.col(partition).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
     own = [r[0] for r in rows.select(partition).distinct().collect()]
