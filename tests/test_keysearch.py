@@ -88,3 +88,21 @@ def test_no_rows_and_no_key(spark):
     assert discovery.discover_key(spark.range(0)).columns == ()
     one = spark.createDataFrame([(1, None), (1, None)], "a int, b int")
     assert discovery.discover_key(one).columns == ()
+
+
+def test_a_computed_table_is_computed_once(spark):
+    """Every pass of the search reads the staged columns; the rows are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        made.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([(i % 7, i % 11, i % 13) for i in range(1001)], 4).map(count)
+    found = discovery.discover_key(spark.createDataFrame(rows, "a int, b int, c int"))
+    assert sorted(found.columns) == ["a", "b", "c"] and made.value == 1001
+
+
+def test_columns_without_a_type_are_no_key(spark):
+    df = spark.range(50).select(F.lit(None).alias("n"), F.col("id"))
+    assert discovery.discover_key(df).columns == ("id",)
