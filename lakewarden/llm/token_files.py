@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -41,18 +40,21 @@ from .common import pieces, shared_folder, whole_text
 END_ID = 1
 FRAME_IDS = 1 << 20
 LEVEL = 1
-RUN = 1 << 22  # characters of texts whose chunks are numbered at once
-KNOWN = 150_000  # chunks whose ids a Python worker remembers per generation, of which it holds two
+RUN = 1 << 23  # bytes of texts whose chunks are numbered at once
+JOINED = 1 << 18  # bytes of words that the library encodes in one call
+KNOWN = 300_000  # words and signs whose ids a Python worker remembers per generation, of which it holds two
+SIGNS = ".,!#$%&*|"
 INDEX_MAGIC, SEEK_MAGIC, TAIL_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the ids of chunks between blanks remembered.
+    """Ids of whole texts by the tokenizers library, with the ids of words and signs remembered.
 
     The vocabulary turns white space into one blank and never builds a token across it, so a text's ids are those of
     its chunks in turn, and a chunk's are those of its letters and of the signs after them. ``separable`` checks
-    this of a vocabulary; any other, and a text that holds a special token, is encoded whole. Letters are
-    lower-cased beforehand in plain ASCII texts if the vocabulary does so itself.
+    this of a vocabulary; any other, and a text that holds a special token in any case, is encoded whole. The library
+    itself says which characters are still letters once they are normalised; a chunk with others before its signs is
+    not cut. Letters are lower-cased beforehand in plain ASCII texts and words if the vocabulary does so itself.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,7 +63,7 @@ class Encoder:
 
         self.tokenizer, spec = Tokenizer.from_str(vocabulary), json.loads(vocabulary)
         self.by_chunk = self.separable(spec)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.special = [t["content"].encode().lower().decode() for t in spec["added_tokens"]]
         suffix = spec["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix and self.by_chunk:
@@ -70,7 +72,7 @@ class Encoder:
             self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
 
     @staticmethod
     def separable(spec: dict) -> bool:
@@ -82,80 +84,108 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        """Many words in one call: a word ends where a token with the end-of-word mark stands."""
-        for run in pieces(stems, 4000):
+    def _letter(self, char: str) -> bool:
+        """Whether a character is normalised to letters only, so that signs after it are cut off."""
+        if not char.isalpha():
+            return False
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(f"a{char}."))
+        return len(cut) == 2 and cut[1][0] == "."
+
+    def _are_words(self, texts: list[str]) -> list[bool]:
+        """Whether each text consists of letters."""
+        chars = set("".join(texts))
+        self.letters.update((c, self._letter(c)) for c in chars - self.letters.keys())
+        others = {c for c in chars if not self.letters[c]}
+        return [t != "" and others.isdisjoint(t) for t in texts]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Add the ids of parts: many words in one call, as a word ends where a token with the end-of-word mark stands."""
+        texts = [p.decode() for p in parts]
+        are_words = self._are_words(texts)
+        for run in pieces([p for p, word in zip(parts, are_words) if word], JOINED):
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(run).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if self.ends is not None else []
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist() if self.ends is not None else []
             if len(stops) != len(run):
                 found = self._whole([s.decode() for s in run])
             else:
-                found = [ids[a:b].tobytes() for a, b in zip([0, *stops], stops)]
-            self.stems.update(zip(run, found))
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Add the ids of chunks: letters and the signs after them are encoded apart, and only where they are new."""
-        if len(self.stems) > KNOWN:
-            self.stems = {}
-        stems, known = self.stems, self.known
-        cut, rest, words, signs = [], [], set(), set()
-        for chunk in chunks:
-            stem = chunk.rstrip(b".,!#$%&*|")
-            tail = chunk[len(stem) :]
-            if stem.isalpha():
-                stem = stem.lower()
-            elif stem.isascii() or not stem.decode().isalpha():
-                rest.append(chunk)
-                continue
-            cut.append((chunk, stem, tail))
-            if stem not in stems:
-                words.add(stem)
-            if tail and tail not in stems:
-                signs.add(tail)
-        self._learn_stems(list(words))
-        stems.update(zip(signs, self._whole([s.decode() for s in signs])))
-        known.update(zip(rest, self._whole([c.decode() for c in rest])))
-        for chunk, stem, tail in cut:
-            known[chunk] = stems[stem] + stems[tail] if tail else stems[stem]
-
-    def _assembled(self, raws: list[bytes]) -> list[bytes]:
-        """The ids of texts by their chunks: cut and numbered as Arrow columns, looked up once per distinct chunk."""
-        cut = pc.ascii_split_whitespace(pa.array(raws, pa.large_string()))
-        coded = cut.flatten().dictionary_encode()
-        distinct = _byte_strings(coded.dictionary)
-        found = list(map(self.known.get, distinct))
-        lacking = [c for c, ids in zip(distinct, found) if ids is None]
-        again = {c: ids for c in lacking if (ids := self.before.get(c)) is not None}
+                data = ids.tobytes()
+                found = [data[a:b] for a, b in zip([0, *stops], stops)]
+            self.known.update(zip(run, found))
+        signs = [p for p, word in zip(parts, are_words) if not word]
+        self.known.update(zip(signs, self._whole([s.decode() for s in signs])))
+
+    def _looked_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts, encoded where they are new."""
+        found = list(map(self.known.get, parts))
+        lacking = [p for p, ids in zip(parts, found) if ids is None]
+        again = {p: ids for p in lacking if (ids := self.before.get(p)) is not None}
         self.known.update(again)
-        self._learn([c for c in lacking if c not in again] if again else lacking)
-        found = [self.known[c] if ids is None else ids for c, ids in zip(distinct, found)]
+        self._learn([p for p in lacking if p not in again])
+        found = [self.known[p] if ids is None else ids for p, ids in zip(parts, found)]
         if len(self.known) > KNOWN:  # what is seen again moves on to the next generation
             self.before, self.known = self.known, {}
-        offsets = np.zeros(len(found) + 1, dtype="<i8")
-        np.cumsum(np.fromiter(map(len, found), dtype="<i8", count=len(found)) // 4, out=offsets[1:])
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
-        ids = lists.take(coded.indices)
+        return found
+
+    def _of_chunks(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks as lists: each is cut into its letters and the signs after them, or left whole."""
+        stems = pc.ascii_rtrim(chunks, SIGNS)
+        cut = pc.ascii_is_alpha(stems).to_numpy(zero_copy_only=False).copy()
+        foreign = pc.invert(pc.string_is_ascii(stems))
+        cut[foreign.to_numpy(zero_copy_only=False)] = self._are_words([s.decode() for s in _byte_strings(stems.filter(foreign))])
+        ends = _ends(chunks)
+        bounds = np.empty(2 * len(chunks) + 1, dtype="<i8")
+        bounds[::2] = ends
+        bounds[1::2] = np.where(cut, ends[:-1] + pc.binary_length(stems).to_numpy(), ends[1:])
+        parts = pa.LargeStringArray.from_buffers(2 * len(chunks), pa.py_buffer(bounds), chunks.buffers()[2])
+        coded = pc.if_else(pc.ascii_is_alpha(parts), pc.ascii_lower(parts), parts).dictionary_encode()
+        lists = _lists(self._looked_up(_byte_strings(coded.dictionary))).take(coded.indices)
+        return pa.LargeListArray.from_arrays(pa.array(lists.offsets.to_numpy()[::2]), lists.values)
+
+    def _assembled(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of texts by their chunks: cut and numbered as Arrow columns, looked up once per distinct chunk."""
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        ids = self._of_chunks(coded.dictionary).take(coded.indices)
         ends = ids.offsets.to_numpy()[cut.offsets.to_numpy()]
         flat = ids.values.to_numpy()
-        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        return (flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:]))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column without nulls as little-endian unsigned 32-bit integers."""
+        sizes = pc.binary_length(texts).to_pylist()
+        for run in pieces(range(len(texts)), RUN, sizes.__getitem__):
+            part = texts.take(pa.array(run)).cast(pa.large_string())  # a copy, as ascii_lower misreads a slice that was cast
+            lower = pc.ascii_lower(part)
+            whole = np.full(len(part), not self.by_chunk)
+            for token in self.special:
+                whole |= pc.match_substring(lower, token).to_numpy(zero_copy_only=False)
+            ids = self._assembled(pc.if_else(pc.string_is_ascii(part), lower, part).filter(pa.array(~whole)))
+            for i, alone in enumerate(whole.tolist()):
+                yield self._whole([part[i].as_py()])[0] if alone else next(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for run in pieces(texts, RUN):
-            raws = [t.encode("utf-8", "replace") if self.by_chunk and not self.special.search(t) else None for t in run]
-            ids = iter(self._assembled([r.lower() if r.isascii() else r for r in raws if r is not None]))
-            out += [self._whole([t])[0] if r is None else next(ids) for t, r in zip(run, raws)]
-        return out
+        return list(self.encode_column(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_string())))
+
+
+def _ends(texts: pa.Array) -> np.ndarray:
+    """The bounds of a string array's values in its buffer."""
+    return np.frombuffer(texts.buffers()[1], dtype="<i8")[texts.offset : texts.offset + len(texts) + 1]
 
 
 def _byte_strings(texts: pa.Array) -> list[bytes]:
     """The values of a string array without nulls, cut from its buffer."""
-    ends = np.frombuffer(texts.buffers()[1], dtype="<i8")[texts.offset : texts.offset + len(texts) + 1].tolist()
+    ends = _ends(texts).tolist()
     data = texts.buffers()[2].to_pybytes() if texts.buffers()[2] else b""
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    """Ids as bytes turned into an array of lists."""
+    ends = np.zeros(len(found) + 1, dtype="<i8")
+    np.cumsum(np.fromiter(map(len, found), dtype="<i8", count=len(found)) // 4, out=ends[1:])
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+
+
 _encoders: dict[int, Encoder] = {}  # one per Python worker and vocabulary, so that later tasks find its memory filled
 
 
@@ -239,9 +269,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -
 
         def documents():
             for batch in batches:
-                for run in pieces(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), 4 << 20, lambda d: len(d[1])):
-                    for (doc_id, _), data in zip(run, coder.encode([text for _, text in run])):
-                        yield doc_id, data + end
+                for doc_id, data in zip(batch.column(0).to_pylist(), coder.encode_column(batch.column(1))):
+                    yield doc_id, data + end
 
         n_docs, n_tokens = write_file(sink, documents())
         return {"n_docs": n_docs, "n_tokens": n_tokens}

@@ -8,6 +8,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF_DIR
@@ -87,6 +88,42 @@ def test_encoder_by_chunks_equals_whole_texts():
     assert coder.by_chunk and coder.encode(ODD) == plain_ids(ODD)
 
 
+def test_encoder_keeps_signs_after_letters_that_normalise_to_more():
+    odd = ["İ. x", "a İ! i̇.", "क़. क़,", "שּׁ. x", "<|STARTOFTEXT|> hi", "a <|EndOfText|>"]
+    with open(token_files.default_vocabulary(), encoding="utf-8") as f:
+        coder = token_files.Encoder(f.read())
+    assert coder.encode(odd) == plain_ids(odd)
+    column = pa.array(["skipped", *ODD, *odd]).slice(1)
+    assert list(coder.encode_column(column)) == plain_ids(ODD + odd)
+
+
+def test_encoder_encodes_words_that_come_again_only_once(monkeypatch):
+    monkeypatch.setattr(token_files, "RUN", 2000)
+    monkeypatch.setattr(token_files, "KNOWN", 150)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "q" + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26]
+    often = [word(i) for i in range(100)]
+    texts = [" ".join([w + sign for w in often] + [word(i) for i in range(1000 + 100 * k, 1100 + 100 * k)]) for k, sign in enumerate(".,!#$%&*|")]
+
+    with open(token_files.default_vocabulary(), encoding="utf-8") as f:
+        coder = token_files.Encoder(f.read())
+    asked, library = [], coder.tokenizer
+
+    class Listening:
+        def encode_batch_fast(self, texts, **settings):
+            asked.append([w for t in texts for w in t.split() if w.isalpha()])
+            return library.encode_batch_fast(texts, **settings)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    coder.tokenizer = Listening()
+    assert coder.encode(texts) == plain_ids(texts)
+    words = [w for call in asked for w in call]
+    assert len(words) == len(set(words)) == 100 + 9 * 100
+    assert sum(map(bool, asked)) == 9  # one call for all new words of a run
+
+
 def test_encoder_with_other_vocabulary_encodes_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
