@@ -422,6 +422,56 @@ def test_unigram_models_are_rebuilt():
     assert codec.decode([ids for ids, _ in got]) == ["ab abba b", "", "é ab", "a  b"]
 
 
+def test_chunks_that_come_again_are_encoded_and_decoded_only_once(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "KNOWN", 150)
+    with open(sentencepieces.default_model(), "rb") as f:
+        codec = sentencepieces.Codec(f.read())
+    often = [f"q{i}" for i in range(100)]
+    texts = [" ".join([*often, *(f"z{k}x{i}" for i in range(100))]) for k in range(9)]
+    encoded, decoded = [], []
+
+    class Listening:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **settings):
+            encoded.extend(c for t in texts for c in t.split(" "))
+            return self.library.encode_batch_fast(texts, **settings)
+
+        def decode_batch(self, ids, **settings):
+            texts = self.library.decode_batch(ids, **settings)
+            decoded.extend(c for t in texts for c in t.split(" "))
+            return texts
+
+    plain, codec.tokenizer = codec.tokenizer, Listening(codec.tokenizer)
+    for text in texts:
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert codec.encode([text]) == [(ids, True)]
+    assert sorted(encoded) == sorted(decoded) == sorted({c for t in texts for c in t.split(" ")})
+
+
+def test_flags_by_chunks_equal_those_of_whole_texts(monkeypatch):
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    monkeypatch.setattr(sentencepieces, "KNOWN", 3)
+    spec = sentencepiece_model_pb2.ModelProto()
+    for piece, score, kind in [("<unk>", 0, 2), ("▁", -3, 1), ("a", -2, 1), ("b", -2.5, 1), ("ab", -2.2, 1), ("▁a", -2.1, 1)]:
+        spec.pieces.add(piece=piece, score=score, type=kind)
+    spec.trainer_spec.model_type = sentencepieces.BPE
+    spec.normalizer_spec.name, spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    codec, plain = sentencepieces.Codec(spec.SerializeToString()), SentencePieceProcessor(model_proto=spec.SerializeToString())
+    assert codec.by_chunk
+    texts = ["a ab", "a é", "é é", "", "ab  é", "ab <unk>", " a", "b▁a", "ba ab aab", "é", "a b bb bbb abab é", "a ab", "ab éé b"]
+    want = []
+    for t in texts:
+        ids = plain.encode(t)
+        back = codec.tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((np.array(ids, dtype="<u4").tobytes(), codec.tokenizer.encode(t, add_special_tokens=False).ids == ids, back == t.replace("▁", " ")))
+    assert {back for *_, back in want} == {True, False}
+    assert [r for run in codec.compared(pa.array(["skipped", *texts]).slice(1)) for r in run] == want
+    assert [r for t in texts for run in codec.compared(pa.array([t])) for r in run] == want
+
+
 # --- 7 licenses -------------------------------------------------------------------------------------
 
 
