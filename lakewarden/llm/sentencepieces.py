@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import pieces, whole_text
 
 THREADS = 2
-RUN = 1 << 22  # bytes of texts whose chunks are numbered at once
-BATCH = 1 << 18  # characters that the libraries get in one call
+RUN = 1 << 20  # bytes of texts whose chunks are numbered at once
+BATCH = 1 << 16  # characters that the libraries get in one call
 JOINED = 500  # characters of chunks that are encoded as one text
 KNOWN = 300_000  # chunks that a Python worker remembers per generation, of which it holds two
 MARK = "▁"
